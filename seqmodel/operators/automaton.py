@@ -51,7 +51,7 @@ def merged_states(nodes: DataFrame) -> DataFrame:
 
 def numbered_states(states: DataFrame, limit: int | None = None) -> DataFrame:
     """``state_id`` from 0 by (length, value) of the smallest prefix; a sink without one is last."""
-    length = F.when(F.col("rep_prefix").isNull(), F.lit(2**31 - 1)).otherwise(length)
+    length = F.when(F.col("rep_prefix").isNull(), 2**31 - 1).otherwise(F.size("rep_prefix"))
     ranked = numbered(states.withColumn("__len", length), ["__len", "rep_prefix"], "state_id", limit)
     return ranked.drop("__len")
 
@@ -72,7 +72,7 @@ def merged_transitions(nodes: DataFrame, prefix_state: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The tables of one trained automaton. Votes, nodes and states are written once each."""
+    """The tables of one trained automaton, each written once when first asked for."""
 
     def __init__(self, votes: DataFrame):
         self.votes = votes
@@ -96,15 +96,15 @@ class Model:
 
     @cached_property
     def prefix_state(self) -> DataFrame:
-        return prefix_states(self.nodes, self.states)
+        return written(prefix_states(self.nodes, self.states), "prefix_state")
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return merged_transitions(self.nodes, self.prefix_state)
+        return written(merged_transitions(self.nodes, self.prefix_state), "transitions")
 
     @cached_property
     def alphabet(self) -> DataFrame:
-        return profile.alphabet(self.votes)
+        return written(profile.alphabet(self.votes), "alphabet")
 
     @cached_property
     def sink_id(self) -> int | None:
@@ -140,7 +140,8 @@ class Model:
         if count == 0:
             return self.transitions
         ids = self.states.select(
-            "state_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long").alias("block")
+            "state_id",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"),
         )
         pairs = ids.join(blocks, "block").select("state_id", F.explode("symbols").alias("symbol"))
         return pairs.join(self.transitions, ["state_id", "symbol"], "left").select(

@@ -76,26 +76,25 @@ def train_test_split(seqs: DataFrame, ratio: float = TRAIN_RATIO, seed: int = SE
         return seqs.withColumn("is_train", F.lit(True))
     edge = keyed.filter(F.col("__key").startswith(prefix))
     around = (
-        _ranked(edge, id_column, limit)
+        _ranked(edge, limit)
         .filter(F.col("__nth").isin(take, take + 1))
-        .select("__nth", "__key", F.col(id_column).alias("id"))
+        .select("__nth", "__key")
         .orderBy("__nth")
         .collect()
     )
-    cut = around[0]
-    place, at_cut = F.struct("__key", id_column), F.struct(F.lit(cut["__key"]), F.lit(cut["id"]))
-    if len(around) == 1 or around[1][1:] != cut[1:]:
-        return keyed.withColumn("is_train", place <= at_cut).drop("__key")
-    clear = keyed.filter(place != at_cut).withColumn("is_train", place < at_cut)
-    taken = take - edge.filter(place < at_cut).count()
-    same = _ranked(edge.filter(place == at_cut), id_column, limit)
+    key, cut = F.col("__key"), around[0]["__key"]
+    if len(around) == 1 or around[1]["__key"] != cut:
+        return keyed.withColumn("is_train", key <= cut).drop("__key")
+    clear = keyed.filter(key != cut).withColumn("is_train", key < cut)
+    taken = take - edge.filter(key < cut).count()
+    same = _ranked(edge.filter(key == cut), limit)
     same = same.withColumn("is_train", F.col("__nth") <= taken).drop("__nth")
     return clear.unionByName(same).drop("__key")
 
 
-def _ranked(rows: DataFrame, id_column: str, limit: int) -> DataFrame:
+def _ranked(rows: DataFrame, limit: int) -> DataFrame:
     marked = rows.withColumn("__all", F.lit(0)).withColumn("__row", F.monotonically_increasing_id())
-    ranked = ordered(marked, ["__all"], ["__key", id_column, "__row"], limit)
+    ranked = ordered(marked, ["__all"], ["__key", "__row"], limit)
     return ranked.running_sum(F.lit(1), "__nth").rows().drop("__all", "__row")
 
 
