@@ -49,10 +49,12 @@ def merged_states(nodes: DataFrame) -> DataFrame:
     )
 
 
-def numbered_states(states: DataFrame, limit: int | None = None) -> DataFrame:
+def numbered_states(states: DataFrame, limit: int | None = None,
+                    largest: int | None = None) -> DataFrame:
     """``state_id`` from 0 by (length, value) of the smallest prefix; a sink without one is last."""
     length = F.when(F.col("rep_prefix").isNull(), 2**31 - 1).otherwise(F.size("rep_prefix"))
-    ranked = numbered(states.withColumn("__len", length), ["__len", "rep_prefix"], "state_id", limit)
+    order = ["__len", "rep_prefix"]
+    ranked = numbered(states.withColumn("__len", length), order, "state_id", limit, largest)
     return ranked.drop("__len")
 
 
@@ -92,7 +94,8 @@ class Model:
 
     @cached_property
     def states(self) -> DataFrame:
-        return written(numbered_states(merged_states(self.nodes)), "states")
+        most = self.nodes.count() + 1
+        return written(numbered_states(merged_states(self.nodes), largest=most), "states")
 
     @cached_property
     def prefix_state(self) -> DataFrame:
@@ -131,7 +134,7 @@ class Model:
         equi-join on the number of an alphabet block, so neither side has to fit anywhere.
         """
         blocks = written(
-            numbered(self.alphabet, ["symbol"], "nth")
+            numbered(self.alphabet, ["symbol"], "nth", largest=self.alphabet.count())
             .groupBy(F.floor(F.col("nth") / ALPHABET_BLOCK).alias("block"))
             .agg(F.collect_list("symbol").alias("symbols")),
             "alphabet",

@@ -117,9 +117,15 @@ def parted_by_size(
     return df.join(large, on, "left_anti"), df.join(large, on, "left_semi"), total
 
 
-def ordered(df: DataFrame, keys: list[str], order: list[str], limit: int | None = None) -> Ordered:
-    """Prepare running values of ``df`` within ``keys`` along ``order`` (unique per key)."""
+def ordered(df: DataFrame, keys: list[str], order: list[str], limit: int | None = None,
+            largest: int | None = None) -> Ordered:
+    """Prepare running values of ``df`` within ``keys`` along ``order`` (unique per key).
+
+    ``largest`` is a known bound of the group size; up to ``limit`` it saves the look at the sizes.
+    """
     limit = limit or rows_per_task(df)
+    if largest is not None and largest <= limit:
+        return Ordered(df.withColumn(SEGMENT, F.lit(-1)), keys, order, False)
     small, large, total = parted_by_size(df, keys, limit)
     small = small.withColumn(SEGMENT, F.lit(-1))
     if large is None:
@@ -132,8 +138,9 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], limit: int | None
     return Ordered(small.unionByName(segments), keys, order, True)
 
 
-def numbered(df: DataFrame, order: list[str], out: str, limit: int | None = None) -> DataFrame:
-    """Row numbers from 0 along a total order over the whole table."""
+def numbered(df: DataFrame, order: list[str], out: str, limit: int | None = None,
+             largest: int | None = None) -> DataFrame:
+    """Row numbers from 0 along a total order over the whole table of at most ``largest`` rows."""
     whole = df.withColumn("__all", F.lit(0))
-    rows = ordered(whole, ["__all"], order, limit).running_sum(F.lit(1), out).rows()
+    rows = ordered(whole, ["__all"], order, limit, largest).running_sum(F.lit(1), out).rows()
     return rows.withColumn(out, (F.col(out) - 1).cast("long")).drop("__all")

@@ -17,7 +17,7 @@ from seqmodel.operators.ordered import ordered, rows_per_task
 TRAIN_RATIO = 0.7
 SEED = 42
 
-_DIGITS = 4
+_DIGITS = 3
 _KEY_LENGTH = 32
 
 
@@ -37,11 +37,11 @@ def split_key(id_column: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
 
 
-def _boundary(keyed: DataFrame, ratio: float, limit: int) -> tuple[str, int]:
-    """(prefix, how many rows with this prefix are training)."""
-    prefix, take = "", None
+def _boundary(keyed: DataFrame, ratio: float, limit: int) -> tuple[str, int, int]:
+    """(prefix, how many rows have it, how many of these are training)."""
+    prefix, take, n = "", None, 0
     while len(prefix) < _KEY_LENGTH:
-        width = len(prefix) + _DIGITS
+        width = min(len(prefix) + _DIGITS, _KEY_LENGTH)
         counts = sorted(
             keyed.filter(F.col("__key").startswith(prefix))
             .groupBy(F.substring("__key", 1, width).alias("p"))
@@ -55,11 +55,11 @@ def _boundary(keyed: DataFrame, ratio: float, limit: int) -> tuple[str, int]:
                 break
             take -= n
         else:
-            return "", 0
+            return "", 0, 0
         prefix = p
         if n <= limit:
             break
-    return prefix, take
+    return prefix, n, take
 
 
 def train_test_split(seqs: DataFrame, ratio: float = TRAIN_RATIO, seed: int = SEED,
@@ -71,12 +71,12 @@ def train_test_split(seqs: DataFrame, ratio: float = TRAIN_RATIO, seed: int = SE
     train_size(0, ratio)
     keyed = seqs.withColumn("__key", split_key(id_column, seed))
     limit = limit or rows_per_task(seqs)
-    prefix, take = _boundary(keyed, ratio, limit)
+    prefix, n, take = _boundary(keyed, ratio, limit)
     if not prefix:
         return seqs.withColumn("is_train", F.lit(True))
     edge = keyed.filter(F.col("__key").startswith(prefix))
     around = (
-        _ranked(edge, limit)
+        _ranked(edge, n, limit)
         .filter(F.col("__nth").isin(take, take + 1))
         .select("__nth", "__key")
         .orderBy("__nth")
@@ -87,14 +87,14 @@ def train_test_split(seqs: DataFrame, ratio: float = TRAIN_RATIO, seed: int = SE
         return keyed.withColumn("is_train", key <= cut).drop("__key")
     clear = keyed.filter(key != cut).withColumn("is_train", key < cut)
     taken = take - edge.filter(key < cut).count()
-    same = _ranked(edge.filter(key == cut), limit)
+    same = _ranked(edge.filter(key == cut), n, limit)
     same = same.withColumn("is_train", F.col("__nth") <= taken).drop("__nth")
     return clear.unionByName(same).drop("__key")
 
 
-def _ranked(rows: DataFrame, limit: int) -> DataFrame:
+def _ranked(rows: DataFrame, n: int, limit: int) -> DataFrame:
     marked = rows.withColumn("__all", F.lit(0)).withColumn("__row", F.monotonically_increasing_id())
-    ranked = ordered(marked, ["__all"], ["__key", "__row"], limit)
+    ranked = ordered(marked, ["__all"], ["__key", "__row"], limit, largest=n)
     return ranked.running_sum(F.lit(1), "__nth").rows().drop("__all", "__row")
 
 

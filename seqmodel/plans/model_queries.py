@@ -12,6 +12,7 @@ from seqmodel.operators.split import SEED, TRAIN_RATIO, train_full, train_test_s
 from seqmodel.plans import fixtures as fx
 from seqmodel.plans import run
 from seqmodel.plans.ingest_queries import INPUTS_SQL, inputs
+from seqmodel.sources.scratch import written
 
 # Scoring with symbols the model has never seen: it is trained on sessions without errors.
 _TRAIN_EVENTS = "event_type <> 'error'"
@@ -20,7 +21,7 @@ _START = "s1"
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    marked = train_test_split(fx.sessions(spark, d))
+    marked = train_test_split(written(fx.sessions(spark, d), "sequences"))
     return marked.filter("is_train"), marked.filter("not is_train")
 
 
@@ -48,11 +49,14 @@ def alphabet(spark, d):
 
 
 def dataset_counts(spark, d):
-    return profile.dataset_counts(train_test_split(inputs(spark, d)), ["source", "is_train"])
+    return profile.dataset_counts(
+        train_test_split(written(inputs(spark, d), "sequences")), ["source", "is_train"]
+    )
 
 
 def split_query(spark, d):
-    return train_test_split(fx.sessions(spark, d)).select("id", "is_train", "label")
+    seqs = written(fx.sessions(spark, d), "sequences")
+    return train_test_split(seqs).select("id", "is_train", "label")
 
 
 def train_full_query(spark, d):
@@ -188,8 +192,7 @@ def confusion(spark, d):
 
 
 def metrics(spark, d):
-    seqs = fx.records(spark, d)
-    marked = train_test_split(seqs)
+    marked = train_test_split(written(fx.records(spark, d), "sequences"))
     return evaluate.metrics(marked.filter("not is_train"), Model.fit(marked.filter("is_train")))
 
 
@@ -200,7 +203,7 @@ def metrics_empty(spark, d):
 
 def holdout_report(spark, d):
     """English documents are the input, each other language is a holdout source."""
-    docs = fx.labelled_documents(spark, d)
+    docs = written(fx.labelled_documents(spark, d), "sequences")
     marked = train_test_split(docs.filter("source = 'en'"))
     model = Model.fit(marked.filter("is_train"))
     return evaluate.holdout_report(
@@ -209,7 +212,7 @@ def holdout_report(spark, d):
 
 
 def run_summary(spark, d):
-    docs = fx.labelled_documents(spark, d)
+    docs = written(fx.labelled_documents(spark, d), "sequences")
     return run.train_and_evaluate(docs.filter("source = 'en'"), docs.filter("source <> 'en'")).summary()
 
 
