@@ -58,8 +58,9 @@ def is_positive_label(text: Column) -> Column:
 
 
 def leading_number(text: Column) -> Column:
-    """The number a text starts with, 0.0 if there is none (`1.5x` is 1.5)."""
-    return F.coalesce(F.regexp_extract(text, _NUMBER, 1).try_cast("double"), F.lit(0.0))
+    """The number a text starts with (`1.5x` is 1.5), 0.0 if there is none or it has no double."""
+    number = F.regexp_extract(text, _NUMBER, 1).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number).otherwise(F.lit(0.0))
 
 
 def record_symbols(columns: list[tuple[Column, str]], sentinel: bool = True) -> Column:

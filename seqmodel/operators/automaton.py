@@ -63,14 +63,16 @@ def prefix_states(nodes: DataFrame, states: DataFrame) -> DataFrame:
     return nodes.join(states.select(*RESIDUAL, "state_id"), RESIDUAL).select("prefix", "state_id")
 
 
-def merged_transitions(nodes: DataFrame, prefix_state: DataFrame) -> DataFrame:
-    """(state_id, symbol, next_state_id) of the tree edges, mapped to states."""
-    source = prefix_state.select(F.col("prefix").alias("parent"), "state_id")
-    target = prefix_state.select(
-        F.col("prefix").alias("child"), F.col("state_id").alias("next_state_id")
+def merged_transitions(prefix_state: DataFrame) -> DataFrame:
+    """(state_id, symbol, next_state_id) of the tree edges, mapped to states.
+
+    An edge is a node seen from its parent, so only the parent's state has to be looked up.
+    """
+    edges = prefix_edges(
+        prefix_state.withColumn("depth", F.size("prefix")), F.col("state_id").alias("next_state_id")
     )
-    edges = prefix_edges(nodes).join(target, "child").join(source, "parent")
-    return edges.select("state_id", "symbol", "next_state_id").distinct()
+    source = prefix_state.select(F.col("prefix").alias("parent"), "state_id")
+    return edges.join(source, "parent").select("state_id", "symbol", "next_state_id").distinct()
 
 
 class Model:
@@ -81,7 +83,7 @@ class Model:
 
     @classmethod
     def fit(cls, seqs: DataFrame) -> "Model":
-        return cls(written(terminal_votes(seqs), "votes"))
+        return cls(written(terminal_votes(seqs), "votes", lookup=True))
 
     @cached_property
     def accepted(self) -> DataFrame:
@@ -95,19 +97,20 @@ class Model:
     @cached_property
     def states(self) -> DataFrame:
         most = self.nodes.count() + 1
-        return written(numbered_states(merged_states(self.nodes), largest=most), "states")
+        states = numbered_states(merged_states(self.nodes), largest=most)
+        return written(states, "states", lookup=True)
 
     @cached_property
     def prefix_state(self) -> DataFrame:
-        return written(prefix_states(self.nodes, self.states), "prefix_state")
+        return written(prefix_states(self.nodes, self.states), "prefix_state", lookup=True)
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return written(merged_transitions(self.nodes, self.prefix_state), "transitions")
+        return written(merged_transitions(self.prefix_state), "transitions", lookup=True)
 
     @cached_property
     def alphabet(self) -> DataFrame:
-        return written(profile.alphabet(self.votes), "alphabet")
+        return written(profile.alphabet(self.votes), "alphabet", lookup=True)
 
     @cached_property
     def sink_id(self) -> int | None:
@@ -138,6 +141,7 @@ class Model:
             .groupBy(F.floor(F.col("nth") / ALPHABET_BLOCK).alias("block"))
             .agg(F.collect_list("symbol").alias("symbols")),
             "alphabet",
+            lookup=True,
         )
         count = blocks.count()
         if count == 0:

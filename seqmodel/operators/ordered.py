@@ -52,7 +52,7 @@ class Ordered:
             .orderBy(SEGMENT)
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        return written(totals.select(*self.keys, SEGMENT, over(before).alias(_CARRY)), "carry")
+        return written(totals.select(*self.keys, SEGMENT, over(before).alias(_CARRY)), "carry", lookup=True)
 
     def _join_carry(self, df: DataFrame, carry: DataFrame, keep: list[Column]) -> DataFrame:
         on = same_keys(df, carry, [*self.keys, SEGMENT])
@@ -111,7 +111,7 @@ def parted_by_size(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > limit)
     if sizes.isEmpty():
         return df, None, 0
-    large = written(sizes, "large")
+    large = written(sizes, "large", lookup=True)
     total = large.agg(F.sum("__rows")).first()[0]
     on = same_keys(df, large, keys)
     return df.join(large, on, "left_anti"), df.join(large, on, "left_semi"), total

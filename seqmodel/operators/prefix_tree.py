@@ -7,7 +7,7 @@ hashes): two nodes with equal digests accept the same suffixes. All of it aggreg
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RESIDUAL = ["res_n", "res_a", "res_b"]
@@ -52,10 +52,10 @@ def prefix_nodes(votes: DataFrame) -> DataFrame:
     return nodes.select("prefix", F.size("prefix").alias("depth"), "pos", "neg", *RESIDUAL)
 
 
-def prefix_edges(nodes: DataFrame) -> DataFrame:
-    """(parent, symbol, child), a projection of the nodes."""
+def prefix_edges(nodes: DataFrame, *more: Column) -> DataFrame:
+    """(parent, symbol, child, more columns of the child), a projection of the nodes."""
     return nodes.filter(F.col("depth") > 0).select(
         F.slice("prefix", F.lit(1), F.col("depth") - 1).alias("parent"),
         F.element_at("prefix", -1).alias("symbol"),
-        F.col("prefix").alias("child"),
+        F.col("prefix").alias("child"), *more,
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqmodel.sources.scratch import written
+
 # Fixed value: how many symbols a summary shows.
 MAX_DISPLAY = 20
 
@@ -16,7 +18,7 @@ def alphabet(seqs: DataFrame) -> DataFrame:
 
 def feature_summary(seqs: DataFrame, max_display: int = MAX_DISPLAY) -> DataFrame:
     """One row: number of distinct symbols, the first ones in order, whether there are more."""
-    symbols = alphabet(seqs)
+    symbols = written(alphabet(seqs), "symbols")
     total = symbols.agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("shown"))
     first = symbols.orderBy("symbol").limit(max_display)
     shown = first.agg(

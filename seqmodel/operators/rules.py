@@ -212,7 +212,7 @@ def frontier_rules(events: DataFrame, key: str, rules: Rules, max_rounds: int =
     events = written(
         events.select(key, "pos", "symbol").repartitionByRange("pos").sortWithinPartitions("pos"), "input"
     )
-    lengths = written(events.groupBy(key).agg((F.max("pos") + 1).alias("n")), "lengths")
+    lengths = written(events.groupBy(key).agg((F.max("pos") + 1).alias("n")), "lengths", lookup=True)
     empty_path = F.array().cast("array<int>")
     frontier = written(
         lengths.select(

@@ -8,7 +8,9 @@ in the sink if the tree does not have it. Three rules for symbols the model does
 - ``classify_reason``: the walk fails there and says where.
 
 Whatever depends on a sequence's content only is computed once per distinct sequence and joined
-back, so copies cost nothing; AQE splits a join partition that one frequent sequence makes large.
+back, so copies cost nothing. These per-sequence results are written first: while they are small
+the rows are scored by a broadcast join and never shuffled; past that size it is a sort-merge join,
+of which AQE splits the partition that one frequent sequence makes large.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmodel.operators.automaton import Model, state_name
+from seqmodel.sources.scratch import written
 
 # Verdict names.
 POSITIVE, NEGATIVE = "Malicious", "Benign"
@@ -82,7 +85,7 @@ def classify_stay(seqs: DataFrame, model: Model, start: str | None = None) -> Da
         "symbols", state_name(F.col("state_id")).alias("final_state"),
         verdict(F.col("accepting")).alias("verdict"),
     )
-    return seqs.join(states, "symbols")
+    return seqs.join(written(states, "verdicts", lookup=True), "symbols")
 
 
 def classify_reason(seqs: DataFrame, model: Model) -> DataFrame:
@@ -101,7 +104,8 @@ def classify_reason(seqs: DataFrame, model: Model) -> DataFrame:
     ended = F.concat(F.lit("ended in non-accepting state '"), name, F.lit("'"))
     accepted = stop.isNull() & F.col("accepting")
     reason = F.when(stop.isNotNull(), failed).when(accepted, F.lit("accepted")).otherwise(ended)
-    return seqs.join(states.select("symbols", accepted.alias("accepted"), reason.alias("reason")), "symbols")
+    verdicts = states.select("symbols", accepted.alias("accepted"), reason.alias("reason"))
+    return seqs.join(written(verdicts, "verdicts", lookup=True), "symbols")
 
 
 def state_paths(seqs: DataFrame, model: Model) -> DataFrame:
@@ -111,11 +115,9 @@ def state_paths(seqs: DataFrame, model: Model) -> DataFrame:
         "symbols", F.explode(F.sequence(F.lit(0), F.size("symbols"))).alias("k")
     ).withColumn("prefix", F.slice("symbols", F.lit(1), F.col("k")))
     visited = final_state(steps, model, on="prefix")
-    return visited.groupBy("symbols").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("k", "state_id"))), lambda x: x["state_id"]
-        ).alias("path")
-    )
+    items = F.array_sort(F.collect_list(F.struct("k", "state_id")))
+    paths = visited.groupBy("symbols").agg(F.transform(items, lambda x: x["state_id"]).alias("path"))
+    return written(paths, "paths", lookup=True)
 
 
 def _transitions(rows: DataFrame, keep: list[str]) -> DataFrame:

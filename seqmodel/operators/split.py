@@ -34,7 +34,8 @@ def train_size(n: int, ratio: float) -> int:
 
 
 def split_key(id_column: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
+    text = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), text))
 
 
 def _boundary(keyed: DataFrame, ratio: float, limit: int) -> tuple[str, int, int]:

@@ -57,11 +57,12 @@ def stack_trace(events: DataFrame, keys: list[str], order: list[str], symbol: st
     All stack entries are the push symbol, so the depth says the whole stack; ``stack_after`` spells
     it out.
     """
+    events = events.withColumn("__switch", control_state(F.col(symbol), prefix, states, other))
     rows = _depths(events, keys, order, symbol, push, pop, limit)
+    switch = F.col("__switch")
+    rows = rows.running_last(switch, "__next").running_last(switch, "__current", inclusive=False)
     rows = rows.with_column("__error", F.when(F.col("depth") < 0, F.lit(1)).otherwise(F.lit(0)))
     rows = rows.running_sum(F.col("__error"), "__errors", inclusive=False)
-    switch = control_state(F.col(symbol), prefix, states, other)
-    rows = rows.running_last(switch, "__next").running_last(switch, "__current", inclusive=False)
     bad = F.col("__error") == 1
     op = (
         F.when(bad, F.lit(OP_ERROR))

@@ -12,6 +12,7 @@ from seqmodel.operators.automaton import Model
 from seqmodel.operators.evaluate import holdout_report
 from seqmodel.operators.profile import feature_summary
 from seqmodel.operators.split import SEED, TRAIN_RATIO, train_full, train_test_split
+from seqmodel.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -65,5 +66,7 @@ class Run:
 
 def train_and_evaluate(seqs: DataFrame, holdouts: DataFrame, ratio: float = TRAIN_RATIO,
                        seed: int = SEED, full: bool = False) -> Run:
+    """Sequences are written once; every later pass reads only the columns it needs."""
+    seqs = written(seqs, "sequences")
     marked = train_full(seqs) if full else train_test_split(seqs, ratio, seed)
     return Run(marked, holdouts, Model.fit(marked.filter("is_train")))

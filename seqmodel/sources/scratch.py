@@ -1,8 +1,8 @@
 """Intermediate tables in the folder the cluster shares.
 
 A written table ends the lineage, outlives lost executors, is computed once however often it is
-read, and has a size Catalyst knows: a join against it is broadcast only when the files really are
-below ``spark.sql.autoBroadcastJoinThreshold``.
+read, and has a size Catalyst knows: a join against it is broadcast only when its files are below
+``spark.sql.autoBroadcastJoinThreshold``, and is a sort-merge join otherwise.
 """
 
 from __future__ import annotations
@@ -32,8 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and hand back a reader of the written table."""
+def written(df: DataFrame, name: str, lookup: bool = False) -> DataFrame:
+    """Write ``df`` once and hand back a reader of the written table.
+
+    A ``lookup`` is a table others join against. It is stored without compression and dictionaries,
+    so that its file size is the size of its values: repeated symbols would otherwise shrink to a
+    file that passes for broadcastable and is not.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    plain = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+    df.write.options(**(plain if lookup else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

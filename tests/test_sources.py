@@ -99,3 +99,21 @@ def test_model_round_trip(spark, tmp_path):
         assert getattr(loaded, name).count() == getattr(model, name).count()
     assert loaded.sink_id == model.sink_id
     assert score.classify(seqs, loaded).filter("predicted").count() == 1
+
+
+def test_stream_is_scored_like_a_batch(spark, tmp_path):
+    from seqmodel.streaming.score import classify_stream
+
+    seqs = spark.createDataFrame(
+        [(["a", "b"], True), (["c"], False), (["a"], False), ([], False)], "symbols array<string>, label boolean"
+    )
+    model = Model.fit(seqs)
+    seqs.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(seqs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = classify_stream(stream, model).writeStream.format("memory").queryName("scored").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("scored").exceptAll(score.classify(seqs, model).select(spark.table("scored").columns)).count() == 0
+    assert spark.table("scored").count() == 4
+    with pytest.raises(ValueError, match="streaming"):
+        classify_stream(seqs, model)
