@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Verdict texts.
+ACCEPTED = "accepted"
+BAD_POP = "pop without matching push at position %d"
+LEFT_OVER = "final stack not empty (%d unmatched pushes)"
+
 
 def stack_effect(symbol: Column, push: str, pop: str) -> Column:
     return F.when(symbol == push, F.lit(1)).when(symbol == pop, F.lit(-1)).otherwise(F.lit(0))
@@ -13,17 +18,9 @@ def stack_effect(symbol: Column, push: str, pop: str) -> Column:
 def stack_reason(first_error: Column, depth: Column) -> Column:
     """Verdict text from the 0-based position of the first bad pop (or null) and the final depth."""
     return (
-        F.when(
-            first_error.isNotNull(),
-            F.concat(F.lit("pop without matching push at position "), first_error.cast("string")),
-        )
-        .when(
-            depth > 0,
-            F.concat(
-                F.lit("final stack not empty ("), depth.cast("string"), F.lit(" unmatched pushes)")
-            ),
-        )
-        .otherwise(F.lit("accepted"))
+        F.when(first_error.isNotNull(), F.format_string(BAD_POP, first_error))
+        .when(depth > 0, F.format_string(LEFT_OVER, depth))
+        .otherwise(F.lit(ACCEPTED))
     )
 
 

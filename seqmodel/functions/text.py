@@ -58,9 +58,14 @@ def is_positive_label(text: Column) -> Column:
 
 
 def leading_number(text: Column) -> Column:
-    """The number a text starts with (`1.5x` is 1.5), 0.0 if there is none or it has no double."""
-    number = F.regexp_extract(text, _NUMBER, 1).try_cast("double")
-    return F.when(F.abs(number) < float("inf"), number).otherwise(F.lit(0.0))
+    """The number a text starts with (`1.5x` is 1.5), 0.0 if there is none or it has no double.
+
+    The regex runs only for texts that are neither missing nor a number as they stand.
+    """
+    finite = lambda n: F.when(F.abs(n) < float("inf"), n)
+    whole = finite(text.try_cast("double"))
+    head = finite(F.regexp_extract(text, _NUMBER, 1).try_cast("double"))
+    return F.when(text.isNull() | text.isin(*MISSING), 0.0).otherwise(F.coalesce(whole, head, F.lit(0.0)))
 
 
 def record_symbols(columns: list[tuple[Column, str]], sentinel: bool = True) -> Column:
@@ -71,10 +76,9 @@ def record_symbols(columns: list[tuple[Column, str]], sentinel: bool = True) ->
     parts = [
         F.when(c.isNotNull() & ~c.isin(*MISSING), F.concat(F.lit(prefix), c)) for c, prefix in columns
     ]
-    symbols = F.array_compact(F.array(*parts))
-    if not sentinel:
-        return symbols
-    return F.when(F.size(symbols) == 0, F.array(F.lit(NO_SYMBOL))).otherwise(symbols)
+    if sentinel:
+        parts.append(F.when(F.coalesce(*parts).isNull(), F.lit(NO_SYMBOL)))
+    return F.array_compact(F.array(*parts))
 
 
 def wide_symbols(columns: list[Column]) -> Column:

@@ -22,6 +22,9 @@ from seqmodel.sources.scratch import written
 # Fixed value: the sink counts as one negative example.
 SINK_NEG = 1
 
+# Names in the rules of a grammar.
+START_SYMBOL, OTHER_PREFIX, EMPTY = "S", "A", "ε"
+
 ALPHABET_BLOCK = 1000
 
 
@@ -175,6 +178,20 @@ class Model:
         ]
         return reduce(DataFrame.unionByName, rows)
 
+    def grammar(self) -> DataFrame:
+        """The model as right-linear rules (lhs, terminal, rhs): `A -> a B` for every transition,
+        `A -> a` where it ends accepting, and the empty rule if the start accepts."""
+        left = self.states.select("state_id", grammar_name("state_id").alias("lhs"))
+        right = self.states.select(
+            F.col("state_id").alias("next_state_id"), grammar_name("state_id").alias("rhs"), "accepting"
+        )
+        steps = self.complete_transitions().join(left, "state_id").join(right, "next_state_id")
+        ends = F.when(F.col("accepting"), F.array("rhs", F.lit(""))).otherwise(F.array("rhs"))
+        empty = self.states.filter("is_start and accepting")
+        return steps.select("lhs", F.col("symbol").alias("terminal"), F.explode(ends).alias("rhs")).unionByName(
+            empty.select(grammar_name("state_id").alias("lhs"), F.lit(EMPTY).alias("terminal"), F.lit("").alias("rhs"))
+        )
+
     def stats(self) -> DataFrame:
         """States before merging (tree nodes and the sink) and after."""
         before = self.nodes.select(F.lit(1).alias("before"), F.lit(0).alias("after"))
@@ -185,5 +202,11 @@ class Model:
         )
 
 
+def grammar_name(state_id: str) -> Column:
+    """`S` for the start, which is state 0, then `A0`, `A1`, ..."""
+    other = F.concat(F.lit(OTHER_PREFIX), (F.col(state_id) - 1).cast("string"))
+    return F.when(F.col(state_id) == 0, F.lit(START_SYMBOL)).otherwise(other)
+
+
 def state_name(state_id: Column) -> Column:
     return F.concat(F.lit("s"), state_id.cast("string"))

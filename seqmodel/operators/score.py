@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from seqmodel.operators.automaton import Model, state_name
 from seqmodel.sources.scratch import written
 
-# Verdict names.
+# Verdict names and texts.
 POSITIVE, NEGATIVE = "Malicious", "Benign"
+ACCEPTED = "accepted"
+NO_TRANSITION = "no transition on '%s' from state '%s' at position %d"
+NOT_ACCEPTING = "ended in non-accepting state '%s'"
 
 
 def verdict(accepting: Column) -> Column:
@@ -97,13 +100,10 @@ def classify_reason(seqs: DataFrame, model: Model) -> DataFrame:
     )
     states = _with_verdict(final_state(states, model, on="walked"), model, "state_id")
     name = state_name(F.col("state_id"))
-    failed = F.concat(
-        F.lit("no transition on '"), F.get("symbols", stop), F.lit("' from state '"), name,
-        F.lit("' at position "), stop.cast("string"),
-    )
-    ended = F.concat(F.lit("ended in non-accepting state '"), name, F.lit("'"))
+    failed = F.format_string(NO_TRANSITION, F.get("symbols", stop), name, stop)
+    ended = F.format_string(NOT_ACCEPTING, name)
     accepted = stop.isNull() & F.col("accepting")
-    reason = F.when(stop.isNotNull(), failed).when(accepted, F.lit("accepted")).otherwise(ended)
+    reason = F.when(stop.isNotNull(), failed).when(accepted, F.lit(ACCEPTED)).otherwise(ended)
     verdicts = states.select("symbols", accepted.alias("accepted"), reason.alias("reason"))
     return seqs.join(written(verdicts, "verdicts", lookup=True), "symbols")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmodel.functions.stack import stack_effect, stack_reason
+from seqmodel.functions.stack import ACCEPTED, stack_effect, stack_reason
 from seqmodel.operators.ordered import Ordered, ordered
 
 # The symbols, the control states and the operation names.
@@ -36,7 +36,7 @@ def stack_balance(events: DataFrame, keys: list[str], order: list[str], symbol:
         F.sum("__effect").alias("left"),
     )
     reason = stack_reason(F.col("first_error"), F.col("left"))
-    return per_key.select(*keys, (reason == "accepted").alias("ok"), reason.alias("reason"))
+    return per_key.select(*keys, (reason == ACCEPTED).alias("ok"), reason.alias("reason"))
 
 
 def control_state(symbol: Column, prefix: str, states: dict[str, str], other: str) -> Column:

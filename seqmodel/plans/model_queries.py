@@ -140,6 +140,10 @@ def model_definition(spark, d):
     return Model.fit(fx.records(spark, d)).definition()
 
 
+def grammar_rules(spark, d):
+    return Model.fit(fx.records(spark, d)).grammar()
+
+
 # Scoring
 
 
@@ -234,6 +238,7 @@ QUERIES = {
     "complete_transitions": complete_transitions,
     "model_stats": model_stats,
     "model_definition": model_definition,
+    "grammar_rules": grammar_rules,
     "classify": classify,
     "final_state": final_state,
     "classify_stay": classify_stay,
@@ -390,6 +395,14 @@ union all select 'start', 's' || state_id, '' from states where is_start
 union all select 'accepting', 's' || state_id, '' from states where accepting
 union all select 'sink', 's' || state_id, '' from states where is_sink
 union all select 'transition', 's' || state_id || ' ' || symbol, 's' || next_state_id from complete""",
+    "grammar_rules": f"""{_RECORDS}, {TRANSITIONS_SQL},
+named as (select *, case when is_start then 'S' else 'A' || (state_id - 1) end as name from states)
+select a.name as lhs, symbol as terminal, b.name as rhs
+from complete c join named a on a.state_id = c.state_id join named b on b.state_id = c.next_state_id
+union all
+select a.name, symbol, ''
+from complete c join named a on a.state_id = c.state_id join named b on b.state_id = c.next_state_id where b.accepting
+union all select name, 'ε', '' from named where is_start and accepting""",
     "classify": f"""{_TRAINED}
 select id, label, coalesce(pos > neg, false) as predicted
 from marked left join votes using (symbols) where not is_train""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqmodel.functions.stack import check_symbols, stack_reason
+from seqmodel.functions.stack import ACCEPTED, check_symbols, stack_reason
 from seqmodel.operators import rules as pushdown
 from seqmodel.operators import stack
 from seqmodel.operators.rules import RULE_TYPE, Rules
@@ -39,7 +39,7 @@ def stack_balance_records(spark, d):
         "c", check_symbols(F.col("symbols"), _RECORD_PUSH, _RECORD_POP)
     )
     reason = stack_reason(F.col("c.first_error"), F.col("c.depth"))
-    return checked.select("id", (reason == "accepted").alias("ok"), reason.alias("reason"))
+    return checked.select("id", (reason == ACCEPTED).alias("ok"), reason.alias("reason"))
 
 
 def stack_trace(spark, d):

@@ -23,7 +23,7 @@ SYMBOLS = (
 
 # A published connection rule set as (state, label, next state).
 CONNECTION_RULES = [
-    ("Begin", "ε, ε -> Z0", "Start"),
+    ("__start", "ε, ε -> Z0", "Start"),
     ("Start", "proto=tcp, ε -> ε", "TCP_Pending"),
     ("Start", "proto=udp, ε -> ε", "UDP_Process"),
     ("Start", "proto=icmp, ε -> ε", "ICMP_Process"),
@@ -124,7 +124,7 @@ def test_merged_counts_include_the_sink(spark):
 def connection_rules(spark):
     rows = [(i, *r) for i, r in enumerate(CONNECTION_RULES)]
     table = spark.createDataFrame(rows, "rule_no int, state string, label string, next_state string")
-    return Rules.of(rule_table(table, "label"), "Begin", ["Accept"])
+    return Rules.of(rule_table(table, "label"), "__start", ["Accept"])
 
 
 def events(spark, texts):
