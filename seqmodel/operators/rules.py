@@ -6,16 +6,17 @@ input and stands in an accepting state; the stack need not be empty. Among sever
 fewest steps counts, then the one with the smaller rule numbers. If none is accepted the same order
 picks the attempt that consumed most input.
 
-Sequences that fit a row are folded in the row: the set of reachable configurations is an array that
-each symbol maps to the next set, without a shuffle or a round trip. Longer ones, and rules whose
-input-free steps can go round in a circle, take the frontier join: one row per live configuration,
-one join with rules and events per step.
+A sequence is folded inside a row: the set of reachable configurations is an array that each symbol
+maps to the next set, without a shuffle or a round trip. Sequences above ``CHUNK_EVENTS`` are cut into
+chunks of that many symbols and folded chunk by chunk, with the configurations carried in between.
+Rules whose input-free steps can go round in a circle take the frontier join instead: one row per
+live configuration, one join with rules and events per step.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,11 @@ from seqmodel.sources.scratch import written
 EMPTY = "ε"
 OP_PUSH, OP_POP, OP_NONE = "PUSH", "POP", "NO_OP"
 
-FOLD_EVENTS = 4096
-FOLD_RULES = 500
+CHUNK_EVENTS = 4096
 MAX_ROUNDS = 50_000
 
+COLUMNS = ("rule_no", "state", "input", "pop", "push", "next_state")
 RULE_TYPE = "struct<rule_no:int,state:string,input:string,pop:string,push:array<string>,next_state:string>"
-_CONFIG = "state:string,stack:array<string>,steps:int,path:array<int>"
 
 
 def split_rule_label(label: Column) -> Column:
@@ -74,22 +74,12 @@ class Rules:
 
     @classmethod
     def of(cls, table: DataFrame, start: str, accepting: list[str]) -> "Rules":
-        columns = ("rule_no", "state", "input", "pop", "push", "next_state")
-        found = sorted(tuple(r[c] for c in columns) for r in table.select(*columns).collect())
+        found = [tuple(r) for r in table.select(*COLUMNS).orderBy("rule_no").collect()]
         return cls([(i, *r[1:]) for i, r in enumerate(found)], start, accepting)
 
     def literal(self, wanted=lambda row: True) -> Column:
-        text = lambda v: F.lit(v).cast("string")
-        rules = [
-            F.struct(
-                F.lit(no).alias("rule_no"), text(state).alias("state"), text(inp).alias("input"),
-                text(pop).alias("pop"),
-                F.array(*[F.lit(p) for p in push]).cast("array<string>").alias("push"),
-                text(nxt).alias("next_state"),
-            )
-            for no, state, inp, pop, push, nxt in filter(wanted, self.rows)
-        ]
-        return F.array(*rules).cast(f"array<{RULE_TYPE}>")
+        rules = [dict(zip(COLUMNS, row)) for row in filter(wanted, self.rows)]
+        return F.from_json(F.lit(json.dumps(rules)), f"array<{RULE_TYPE}>")
 
     def empty_chain(self) -> int | None:
         """Most input-free steps in a row, None if they can go round in a circle."""
@@ -124,9 +114,16 @@ def _pops(stack: Column, rule: Column) -> Column:
     return rule["pop"].isNull() | F.coalesce(rule["pop"] == top, F.lit(False))
 
 
-def _config(state: Column, stack: Column, path: Column) -> Column:
+# A configuration: `path` holds the rules since the last chunk began and `head` those before, so that
+# a step copies the short part only. `steps` is their joint length.
+_CONFIG = "state:string,stack:array<string>,steps:int,head:array<int>,path:array<int>"
+_NO_PATH = "cast(array() as array<int>)"
+
+
+def _config(state: Column, stack: Column, steps: Column, head: Column, path: Column) -> Column:
     return F.struct(
-        state.alias("state"), stack.alias("stack"), F.size(path).alias("steps"), path.alias("path")
+        state.alias("state"), stack.alias("stack"), steps.alias("steps"), head.alias("head"),
+        path.alias("path"),
     )
 
 
@@ -136,7 +133,8 @@ def _moves(configs: Column, rules: Column, reads) -> Column:
         return F.transform(
             fits,
             lambda r: _config(
-                r["next_state"], _after(c["stack"], r), F.concat(c["path"], F.array(r["rule_no"]))
+                r["next_state"], _after(c["stack"], r), c["steps"] + 1, c["head"],
+                F.array_append(c["path"], r["rule_no"]),
             ),
         )
 
@@ -151,49 +149,99 @@ def _smallest(configs: Column) -> Column:
             before = F.get(s, i - 1)
             return (i == 0) | (x["state"] != before["state"]) | (x["stack"] != before["stack"])
 
-        return F.filter(s, keep)
+        return F.when(F.size(s) < 2, s).otherwise(F.filter(s, keep))
 
     return _bind(F.array_sort(configs), first_of_run)
 
 
 def _best_path(configs: Column) -> Column:
-    return F.array_min(F.transform(configs, lambda c: F.struct(c["steps"], c["path"])))["path"]
+    """The smallest path. No ``head`` starts another one: each ends where its last symbol was read."""
+    least = F.array_min(F.transform(configs, lambda c: F.struct(c["steps"], c["head"], c["path"])))
+    return F.concat(least["head"], least["path"])
 
 
-def fold_rules(symbols: Column, rules: Rules) -> Column:
-    """struct(accepted, path) of one symbol array; needs input-free chains of bounded length."""
-    chain = rules.empty_chain()
-    reading = rules.literal(lambda row: row[2] is not None)
-    silent = rules.literal(lambda row: row[2] is None)
-    no_path = F.array().cast("array<int>")
-
-    def closed(configs: Column) -> Column:
-        if not chain:
-            return _smallest(configs)
-        grow = lambda c, _: _smallest(F.concat(c, _moves(c, silent, lambda r: F.lit(True))))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(chain)), _smallest(configs), grow)
-
-    first = F.array(
-        _config(F.lit(rules.start), F.array().cast("array<string>"), no_path)
-    ).cast(f"array<struct<{_CONFIG}>>")
-
-    def step(acc: Column, symbol: Column) -> Column:
-        after = _moves(acc["configs"], reading, lambda r: r["input"] == symbol)
+class Fold:
+    """The search as a fold over symbols; needs input-free chains of bounded length.
+
+    The accumulator is struct(configs, best): the configurations right after reading a symbol, and,
+    once there are none left, the path of the attempt that came furthest.
+    """
+
+    def __init__(self, rules: Rules):
+        self.rules = rules
+        self.chain = rules.empty_chain()
+        self.reading = rules.literal(lambda row: row[2] is not None)
+        self.silent = rules.literal(lambda row: row[2] is None)
+
+    def start(self) -> Column:
+        none = F.expr(_NO_PATH)
+        first = _config(F.lit(self.rules.start), F.array().cast("array<string>"), F.lit(0), none, none)
+        return F.struct(
+            F.array(first).cast(f"array<struct<{_CONFIG}>>").alias("configs"), none.alias("best")
+        )
+
+    def _closed(self, configs: Column) -> Column:
+        if not self.chain:
+            return configs
+        anything = lambda r: F.lit(True)
+        grow = lambda c, _: _smallest(F.concat(c, _moves(c, self.silent, anything)))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(self.chain)), configs, grow)
+
+    def step(self, acc: Column, symbol: Column) -> Column:
+        moved = _moves(self._closed(acc["configs"]), self.reading, lambda r: r["input"] == symbol)
         return _bind(
-            after,
-            lambda moved: F.struct(
-                closed(moved).alias("configs"),
-                F.coalesce(_best_path(moved), acc["best"]).alias("best"),
+            _smallest(moved),
+            lambda configs: F.struct(
+                configs.alias("configs"),
+                F.when((F.size(acc["configs"]) > 0) & (F.size(configs) == 0), _best_path(acc["configs"]))
+                .otherwise(acc["best"])
+                .alias("best"),
             ),
         )
 
-    start = F.struct(closed(first).alias("configs"), no_path.alias("best"))
+    def over(self, acc: Column, symbols: Column) -> Column:
+        return F.aggregate(symbols, acc, self.step)
+
+    def rolled(self, acc: Column) -> Column:
+        """``acc`` at the end of a chunk: the path so far becomes the head."""
+        configs = F.transform(
+            acc["configs"],
+            lambda c: _config(c["state"], c["stack"], c["steps"], F.concat(c["head"], c["path"]),
+                              F.expr(_NO_PATH)),
+        )
+        return F.struct(configs.alias("configs"), acc["best"].alias("best"))
+
+    def result(self, acc: Column, end: str | None) -> Column:
+        """struct(accepted, path)."""
+        last = acc if end is None else self.step(acc, F.lit(end))
+
+        def verdict(a: Column) -> Column:
+            goal = F.filter(
+                self._closed(a["configs"]), lambda c: c["state"].isin(*self.rules.accepting)
+            )
+            path = F.coalesce(_best_path(goal), _best_path(a["configs"]), a["best"])
+            return F.struct((F.size(goal) > 0).alias("accepted"), path.alias("path"))
 
-    def finish(acc: Column) -> Column:
-        goal = _best_path(F.filter(acc["configs"], lambda c: c["state"].isin(*rules.accepting)))
-        return F.struct(goal.isNotNull().alias("accepted"), F.coalesce(goal, acc["best"]).alias("path"))
+        return _bind(last, verdict)
 
-    return F.aggregate(symbols, start, step, finish)
+
+def fold_chunks(chunks: DataFrame, key: str, fold: Fold, end: str | None) -> DataFrame:
+    """(key, accepted, path) from written rows (key, chunk, symbols): one round per chunk number.
+
+    A round carries one row per sequence, its live configurations, and reads one chunk of each.
+    """
+    carried = chunks.select(key).distinct().withColumn("acc", fold.start())
+    for number in range(chunks.agg(F.max("chunk")).first()[0] + 1):
+        here = chunks.filter(F.col("chunk") == number).select(key, "symbols")
+        symbols = F.coalesce("symbols", F.array().cast("array<string>"))
+        after = fold.over(F.col("acc"), symbols)
+        carried = written(
+            carried.join(here, key, "left").select(key, _bind(after, fold.rolled).alias("acc")),
+            "carried",
+        )
+    return carried.select(key, fold.result(F.col("acc"), end).alias("__r")).select(
+        key, "__r.accepted", "__r.path"
+    )
 
 
 def frontier_rules(events: DataFrame, key: str, rules: Rules, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -266,26 +314,28 @@ def frontier_rules(events: DataFrame, key: str, rules: Rules, max_rounds: int =
 
 
 def rule_attempts(events: DataFrame, key: str, order: list[str], symbol: str, rules: Rules,
-                  end: str | None = None, fold_events: int = FOLD_EVENTS) -> DataFrame:
+                  end: str | None = None, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
     """(key, accepted, path) per sequence of event rows; ``end`` is a symbol put after the last one."""
-    fold = len(rules.rows) <= FOLD_RULES and rules.empty_chain() is not None
-    small, large, _ = parted_by_size(events, [key], fold_events) if fold else (None, events, 0)
-    parts = []
-    if small is not None:
-        items = F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("__s"))))
-        symbols = F.transform(items, lambda x: x["__s"])
-        if end is not None:
-            symbols = F.array_append(symbols, F.lit(end))
-        rows = small.groupBy(key).agg(symbols.alias("symbols"))
-        rows = rows.withColumn("__r", fold_rules(F.col("symbols"), rules))
-        parts.append(rows.select(key, "__r.accepted", "__r.path"))
-    if large is not None:
-        placed = positions(large, [key], order).select(key, "pos", F.col(symbol).alias("symbol"))
+    if rules.empty_chain() is None:
+        placed = positions(events, [key], order).select(key, "pos", F.col(symbol).alias("symbol"))
         if end is not None:
             last = placed.groupBy(key).agg((F.max("pos") + 1).alias("pos"))
             placed = placed.unionByName(last.withColumn("symbol", F.lit(end)))
-        parts.append(frontier_rules(placed, key, rules))
-    return reduce(DataFrame.unionByName, parts)
+        return frontier_rules(placed, key, rules)
+    fold = Fold(rules)
+    small, large, _ = parted_by_size(events, [key], chunk_events)
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("__s"))))
+    rows = small.groupBy(key).agg(F.transform(items, lambda x: x["__s"]).alias("symbols"))
+    result = fold.result(fold.over(fold.start(), F.col("symbols")), end)
+    found = rows.withColumn("__r", result).select(key, "__r.accepted", "__r.path")
+    if large is None:
+        return found
+    placed = positions(large, [key], order)
+    items = F.array_sort(F.collect_list(F.struct("pos", F.col(symbol).alias("__s"))))
+    chunks = placed.groupBy(key, F.floor(F.col("pos") / chunk_events).alias("chunk")).agg(
+        F.transform(items, lambda x: x["__s"]).alias("symbols")
+    )
+    return found.unionByName(fold_chunks(written(chunks, "chunks"), key, fold, end))
 
 
 def rule_step_trace(attempts: DataFrame, key: str, rules: Rules) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqmodel.functions.stack import ACCEPTED, check_symbols, stack_reason
 from seqmodel.operators import rules as pushdown
 from seqmodel.operators import stack
-from seqmodel.operators.rules import RULE_TYPE, Rules
+from seqmodel.operators.rules import Rules
 from seqmodel.plans import fixtures as fx
 
 _PUSH, _POP = "event=view", "event=purchase"
@@ -50,13 +50,12 @@ def stack_trace(spark, d):
              "current_state", "next_state")
 
 
-def turn_rules(spark) -> Rules:
-    return Rules.of(spark.createDataFrame(fx.TURN_RULES, RULE_TYPE), "Start", ["Accept"])
+TURN_RULES = Rules(fx.TURN_RULES, "Start", ["Accept"])
 
 
 def _attempts(spark, d):
     return pushdown.rule_attempts(
-        fx.turns(spark, d), "conv_id", ["turn"], "symbol", turn_rules(spark), end=fx.TURN_END
+        fx.turns(spark, d), "conv_id", ["turn"], "symbol", TURN_RULES, end=fx.TURN_END
     )
 
 
@@ -71,7 +70,7 @@ def rule_best_attempt(spark, d):
 
 
 def rule_step_trace(spark, d):
-    return pushdown.rule_step_trace(_attempts(spark, d), "conv_id", turn_rules(spark)).select(
+    return pushdown.rule_step_trace(_attempts(spark, d), "conv_id", TURN_RULES).select(
         "conv_id", "step", "op", "symbol", F.array_join("stack_after", "|").alias("stack_after"),
         "current_state", "next_state",
     )

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, lookup: bool = False) -> DataFrame:
@@ -43,3 +46,11 @@ def written(df: DataFrame, name: str, lookup: bool = False) -> DataFrame:
     plain = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
     df.write.options(**(plain if lookup else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; only once nothing reads them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(conf).delete(path, True)

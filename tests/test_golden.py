@@ -132,14 +132,14 @@ def events(spark, texts):
     return spark.createDataFrame(rows, "id string, i int, symbol string")
 
 
-@pytest.mark.parametrize("fold_events", [100, 1])
-def test_connection_rules(spark, fold_events):
+@pytest.mark.parametrize("chunk_events", [100, 1])
+def test_connection_rules(spark, chunk_events):
     texts = {
         "a": "proto=tcp state=S0 state=SF END", "b": "proto=udp service=dns END",
         "c": "proto=tcp state=S1 END", "d": "proto=tcp state=S0 END", "e": "nothing here",
     }
     rules = connection_rules(spark)
-    found = rule_attempts(events(spark, texts), "id", ["i"], "symbol", rules, fold_events=fold_events)
+    found = rule_attempts(events(spark, texts), "id", ["i"], "symbol", rules, chunk_events=chunk_events)
     rows = {r.id: r for r in found.collect()}
     assert {k: r.accepted for k, r in rows.items()} == {
         "a": True, "b": True, "c": False, "d": False, "e": False

@@ -164,8 +164,8 @@ def test_rule_search(spark):
             [(k, i, s) for k, seq in seqs.items() for i, s in enumerate(seq)], "id int, i int, symbol string"
         )
         want = {k: naive_search(rows, "P", {"R"}, seq) for k, seq in seqs.items()}
-        for fold_events in (100, 3) if round_no < 2 else (100,):
-            found = rule_attempts(events, "id", ["i"], "symbol", rules, fold_events=fold_events)
+        for chunk_events in (100, 3) if round_no < 2 else (100,):
+            found = rule_attempts(events, "id", ["i"], "symbol", rules, chunk_events=chunk_events)
             assert {r.id: (r.accepted, r.path) for r in found.collect()} == want
 
 

@@ -117,3 +117,16 @@ def test_stream_is_scored_like_a_batch(spark, tmp_path):
     assert spark.table("scored").count() == 4
     with pytest.raises(ValueError, match="streaming"):
         classify_stream(seqs, model)
+
+
+def test_written_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from seqmodel.sources import scratch
+
+    table = scratch.written(spark.range(3), "numbers", lookup=True)
+    assert table.count() == 3
+    mine, scratch._paths = scratch._paths[-1], scratch._paths[-1:]
+    assert Path(mine.removeprefix("file:")).exists()
+    scratch.drop_written(spark)
+    assert not Path(mine.removeprefix("file:")).exists()
