@@ -29,7 +29,8 @@ from seqmodel.sources.scratch import written
 EMPTY = "ε"
 OP_PUSH, OP_POP, OP_NONE = "PUSH", "POP", "NO_OP"
 
-CHUNK_EVENTS = 4096
+CHUNK_EVENTS = 65_536
+BLOCK_EVENTS = 256
 MAX_ROUNDS = 50_000
 
 COLUMNS = ("rule_no", "state", "input", "pop", "push", "next_state")
@@ -114,15 +115,20 @@ def _pops(stack: Column, rule: Column) -> Column:
     return rule["pop"].isNull() | F.coalesce(rule["pop"] == top, F.lit(False))
 
 
-# A configuration: `path` holds the rules since the last chunk began and `head` those before, so that
-# a step copies the short part only. `steps` is their joint length.
-_CONFIG = "state:string,stack:array<string>,steps:int,head:array<int>,path:array<int>"
+# Higher-order functions copy their values, so what a step carries must be short. Symbols are therefore
+# folded in blocks: inside a block a configuration is (state, stack, steps, origin, path) with the rules
+# since the block began and the place of the configuration it comes from; between blocks it is
+# (head, state, stack, steps) with all rules so far, kept in the order of ``head``. No head starts
+# another one, since each ends where the last symbol was read, so (steps, origin, path) orders
+# configurations like (steps, head + path).
+_CARRIED = "array<struct<head:array<int>,state:string,stack:array<string>,steps:int>>"
+_ATTEMPT = "struct<steps:int,origin:int,path:array<int>>"
 _NO_PATH = "cast(array() as array<int>)"
 
 
-def _config(state: Column, stack: Column, steps: Column, head: Column, path: Column) -> Column:
+def _config(state: Column, stack: Column, steps: Column, origin: Column, path: Column) -> Column:
     return F.struct(
-        state.alias("state"), stack.alias("stack"), steps.alias("steps"), head.alias("head"),
+        state.alias("state"), stack.alias("stack"), steps.alias("steps"), origin.alias("origin"),
         path.alias("path"),
     )
 
@@ -133,7 +139,7 @@ def _moves(configs: Column, rules: Column, reads) -> Column:
         return F.transform(
             fits,
             lambda r: _config(
-                r["next_state"], _after(c["stack"], r), c["steps"] + 1, c["head"],
+                r["next_state"], _after(c["stack"], r), c["steps"] + 1, c["origin"],
                 F.array_append(c["path"], r["rule_no"]),
             ),
         )
@@ -154,10 +160,9 @@ def _smallest(configs: Column) -> Column:
     return _bind(F.array_sort(configs), first_of_run)
 
 
-def _best_path(configs: Column) -> Column:
-    """The smallest path. No ``head`` starts another one: each ends where its last symbol was read."""
-    least = F.array_min(F.transform(configs, lambda c: F.struct(c["steps"], c["head"], c["path"])))
-    return F.concat(least["head"], least["path"])
+def _least(configs: Column) -> Column:
+    """The smallest attempt among configurations, null if there are none."""
+    return F.array_min(F.transform(configs, lambda c: F.struct(c["steps"], c["origin"], c["path"])))
 
 
 class Fold:
@@ -174,11 +179,11 @@ class Fold:
         self.silent = rules.literal(lambda row: row[2] is None)
 
     def start(self) -> Column:
-        none = F.expr(_NO_PATH)
-        first = _config(F.lit(self.rules.start), F.array().cast("array<string>"), F.lit(0), none, none)
-        return F.struct(
-            F.array(first).cast(f"array<struct<{_CONFIG}>>").alias("configs"), none.alias("best")
+        first = F.struct(
+            F.expr(_NO_PATH).alias("head"), F.lit(self.rules.start).alias("state"),
+            F.array().cast("array<string>").alias("stack"), F.lit(0).alias("steps"),
         )
+        return F.struct(F.array(first).cast(_CARRIED).alias("configs"), F.expr(_NO_PATH).alias("best"))
 
     def _closed(self, configs: Column) -> Column:
         if not self.chain:
@@ -187,45 +192,68 @@ class Fold:
         grow = lambda c, _: _smallest(F.concat(c, _moves(c, self.silent, anything)))
         return F.aggregate(F.sequence(F.lit(1), F.lit(self.chain)), configs, grow)
 
-    def step(self, acc: Column, symbol: Column) -> Column:
+    def _step(self, acc: Column, symbol: Column) -> Column:
+        """``acc`` is struct(configs, last): ``last`` is the best attempt before none was left."""
         moved = _moves(self._closed(acc["configs"]), self.reading, lambda r: r["input"] == symbol)
-        return _bind(
-            _smallest(moved),
-            lambda configs: F.struct(
-                configs.alias("configs"),
-                F.when((F.size(acc["configs"]) > 0) & (F.size(configs) == 0), _best_path(acc["configs"]))
-                .otherwise(acc["best"])
-                .alias("best"),
-            ),
+
+        def kept(configs: Column) -> Column:
+            lost = (F.size(acc["configs"]) > 0) & (F.size(configs) == 0)
+            last = F.when(lost, _least(acc["configs"])).otherwise(acc["last"])
+            return F.struct(configs.alias("configs"), last.alias("last"))
+
+        return _bind(_smallest(moved), kept)
+
+    @staticmethod
+    def _opened(carried: Column) -> Column:
+        return F.transform(
+            carried,
+            lambda c, i: _config(c["state"], c["stack"], c["steps"], i, F.expr(_NO_PATH)),
         )
 
-    def over(self, acc: Column, symbols: Column) -> Column:
-        return F.aggregate(symbols, acc, self.step)
-
-    def rolled(self, acc: Column) -> Column:
-        """``acc`` at the end of a chunk: the path so far becomes the head."""
-        configs = F.transform(
-            acc["configs"],
-            lambda c: _config(c["state"], c["stack"], c["steps"], F.concat(c["head"], c["path"]),
-                              F.expr(_NO_PATH)),
+    @staticmethod
+    def _path(carried: Column, attempt: Column) -> Column:
+        return F.concat(F.get(carried, attempt["origin"])["head"], attempt["path"])
+
+    def _block(self, acc: Column, symbols: Column) -> Column:
+        begin = F.struct(
+            self._opened(acc["configs"]).alias("configs"), F.lit(None).cast(_ATTEMPT).alias("last")
         )
-        return F.struct(configs.alias("configs"), acc["best"].alias("best"))
 
-    def result(self, acc: Column, end: str | None) -> Column:
+        def rolled(inner: Column) -> Column:
+            configs = F.transform(
+                inner["configs"],
+                lambda c: F.struct(
+                    self._path(acc["configs"], c).alias("head"), c["state"].alias("state"),
+                    c["stack"].alias("stack"), c["steps"].alias("steps"),
+                ),
+            )
+            best = F.coalesce(self._path(acc["configs"], inner["last"]), acc["best"])
+            return F.struct(F.array_sort(configs).alias("configs"), best.alias("best"))
+
+        return _bind(F.aggregate(symbols, begin, self._step), rolled)
+
+    def over(self, acc: Column, symbols: Column) -> Column:
+        """``acc`` after all of ``symbols``."""
+        starts = F.sequence(F.lit(1), F.greatest(F.size(symbols), F.lit(1)), F.lit(BLOCK_EVENTS))
+        blocks = F.transform(starts, lambda i: F.slice(symbols, i, F.lit(BLOCK_EVENTS)))
+        return F.aggregate(blocks, acc, self._block)
+
+    def result(self, acc: Column) -> Column:
         """struct(accepted, path)."""
-        last = acc if end is None else self.step(acc, F.lit(end))
 
         def verdict(a: Column) -> Column:
-            goal = F.filter(
-                self._closed(a["configs"]), lambda c: c["state"].isin(*self.rules.accepting)
+            opened = self._opened(a["configs"])
+            goal = _least(
+                F.filter(self._closed(opened), lambda c: c["state"].isin(*self.rules.accepting))
             )
-            path = F.coalesce(_best_path(goal), _best_path(a["configs"]), a["best"])
-            return F.struct((F.size(goal) > 0).alias("accepted"), path.alias("path"))
+            found = F.coalesce(goal, _least(opened))
+            path = F.coalesce(self._path(a["configs"], found), a["best"])
+            return F.struct(goal.isNotNull().alias("accepted"), path.alias("path"))
 
-        return _bind(last, verdict)
+        return _bind(acc, verdict)
 
 
-def fold_chunks(chunks: DataFrame, key: str, fold: Fold, end: str | None) -> DataFrame:
+def fold_chunks(chunks: DataFrame, key: str, fold: Fold) -> DataFrame:
     """(key, accepted, path) from written rows (key, chunk, symbols): one round per chunk number.
 
     A round carries one row per sequence, its live configurations, and reads one chunk of each.
@@ -234,12 +262,11 @@ def fold_chunks(chunks: DataFrame, key: str, fold: Fold, end: str | None) -> Dat
     for number in range(chunks.agg(F.max("chunk")).first()[0] + 1):
         here = chunks.filter(F.col("chunk") == number).select(key, "symbols")
         symbols = F.coalesce("symbols", F.array().cast("array<string>"))
-        after = fold.over(F.col("acc"), symbols)
         carried = written(
-            carried.join(here, key, "left").select(key, _bind(after, fold.rolled).alias("acc")),
+            carried.join(here, key, "left").select(key, fold.over(F.col("acc"), symbols).alias("acc")),
             "carried",
         )
-    return carried.select(key, fold.result(F.col("acc"), end).alias("__r")).select(
+    return carried.select(key, fold.result(F.col("acc")).alias("__r")).select(
         key, "__r.accepted", "__r.path"
     )
 
@@ -316,26 +343,31 @@ def frontier_rules(events: DataFrame, key: str, rules: Rules, max_rounds: int =
 def rule_attempts(events: DataFrame, key: str, order: list[str], symbol: str, rules: Rules,
                   end: str | None = None, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
     """(key, accepted, path) per sequence of event rows; ``end`` is a symbol put after the last one."""
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = positions(rows, [key], order).select(key, "pos", F.col(symbol).alias("symbol"))
+        if end is None:
+            return rows
+        last = rows.groupBy(key).agg((F.max("pos") + 1).alias("pos"))
+        return rows.unionByName(last.withColumn("symbol", F.lit(end)))
+
     if rules.empty_chain() is None:
-        placed = positions(events, [key], order).select(key, "pos", F.col(symbol).alias("symbol"))
-        if end is not None:
-            last = placed.groupBy(key).agg((F.max("pos") + 1).alias("pos"))
-            placed = placed.unionByName(last.withColumn("symbol", F.lit(end)))
-        return frontier_rules(placed, key, rules)
+        return frontier_rules(placed(events), key, rules)
     fold = Fold(rules)
     small, large, _ = parted_by_size(events, [key], chunk_events)
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("__s"))))
-    rows = small.groupBy(key).agg(F.transform(items, lambda x: x["__s"]).alias("symbols"))
-    result = fold.result(fold.over(fold.start(), F.col("symbols")), end)
-    found = rows.withColumn("__r", result).select(key, "__r.accepted", "__r.path")
+    symbols = F.transform(items, lambda x: x["__s"])
+    symbols = symbols if end is None else F.array_append(symbols, F.lit(end))
+    rows = small.groupBy(key).agg(symbols.alias("symbols"))
+    result = fold.result(fold.over(fold.start(), F.col("symbols")))
+    found = rows.select(key, result.alias("__r")).select(key, "__r.accepted", "__r.path")
     if large is None:
         return found
-    placed = positions(large, [key], order)
-    items = F.array_sort(F.collect_list(F.struct("pos", F.col(symbol).alias("__s"))))
-    chunks = placed.groupBy(key, F.floor(F.col("pos") / chunk_events).alias("chunk")).agg(
-        F.transform(items, lambda x: x["__s"]).alias("symbols")
+    items = F.array_sort(F.collect_list(F.struct("pos", "symbol")))
+    chunks = placed(large).groupBy(key, F.floor(F.col("pos") / chunk_events).alias("chunk")).agg(
+        F.transform(items, lambda x: x["symbol"]).alias("symbols")
     )
-    return found.unionByName(fold_chunks(written(chunks, "chunks"), key, fold, end))
+    return found.unionByName(fold_chunks(written(chunks, "chunks"), key, fold))
 
 
 def rule_step_trace(attempts: DataFrame, key: str, rules: Rules) -> DataFrame:

@@ -3,10 +3,12 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqmodel.functions import text
 from seqmodel.functions.stack import check_symbols
+from seqmodel.operators import rules as pushdown
 from seqmodel.operators import score
 from seqmodel.operators.automaton import Model
 from seqmodel.operators.rules import RULE_TYPE, Rules, rule_attempts
@@ -154,9 +156,11 @@ def random_rules(rng):
     return rules
 
 
-def test_rule_search(spark):
-    rng = random.Random(4)
-    for round_no in range(6):
+@pytest.mark.parametrize("block, chunks, rounds", [(256, (100,), 4), (2, (100, 3), 3)])
+def test_rule_search(spark, monkeypatch, block, chunks, rounds):
+    monkeypatch.setattr(pushdown, "BLOCK_EVENTS", block)
+    rng = random.Random(block)
+    for _ in range(rounds):
         rows = random_rules(rng)
         rules = Rules.of(spark.createDataFrame(rows, RULE_TYPE), "P", ["R"])
         seqs = {i: [rng.choice("ab") for _ in range(rng.randrange(1, 6))] for i in range(25)}
@@ -164,7 +168,7 @@ def test_rule_search(spark):
             [(k, i, s) for k, seq in seqs.items() for i, s in enumerate(seq)], "id int, i int, symbol string"
         )
         want = {k: naive_search(rows, "P", {"R"}, seq) for k, seq in seqs.items()}
-        for chunk_events in (100, 3) if round_no < 2 else (100,):
+        for chunk_events in chunks:
             found = rule_attempts(events, "id", ["i"], "symbol", rules, chunk_events=chunk_events)
             assert {r.id: (r.accepted, r.path) for r in found.collect()} == want
 
