@@ -79,7 +79,7 @@ def merged_transitions(prefix_state: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The tables of one trained automaton, each written once when first asked for."""
+    """The tables of one trained automaton. Those others join against are written, once, when first used."""
 
     def __init__(self, votes: DataFrame):
         self.votes = votes
@@ -109,7 +109,7 @@ class Model:
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return written(merged_transitions(self.prefix_state), "transitions", lookup=True)
+        return merged_transitions(self.prefix_state)
 
     @cached_property
     def alphabet(self) -> DataFrame:
@@ -139,16 +139,15 @@ class Model:
         The answer has states x symbols rows by definition. States meet the alphabet by an
         equi-join on the number of an alphabet block, so neither side has to fit anywhere.
         """
-        blocks = written(
-            numbered(self.alphabet, ["symbol"], "nth", largest=self.alphabet.count())
+        symbols = self.alphabet.count()
+        if symbols == 0:
+            return self.transitions
+        count = -(-symbols // ALPHABET_BLOCK)
+        blocks = (
+            numbered(self.alphabet, ["symbol"], "nth", largest=symbols)
             .groupBy(F.floor(F.col("nth") / ALPHABET_BLOCK).alias("block"))
-            .agg(F.collect_list("symbol").alias("symbols")),
-            "alphabet",
-            lookup=True,
+            .agg(F.collect_list("symbol").alias("symbols"))
         )
-        count = blocks.count()
-        if count == 0:
-            return self.transitions
         ids = self.states.select(
             "state_id",
             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"),

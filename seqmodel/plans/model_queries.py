@@ -21,10 +21,15 @@ _START = "s1"
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    marked = train_test_split(written(fx.sessions(spark, d), "sequences"))
+    marked = train_test_split(_sequences(spark, d))
     return marked.filter("is_train"), marked.filter("not is_train")
 
 
+def _sequences(spark, d) -> DataFrame:
+    """Sessions, put together once."""
+    return written(fx.sessions(spark, d), "sequences")
+
+
 def _session_model(spark, d) -> Model:
     return Model.fit(fx.sessions(spark, d))
 
@@ -55,8 +60,7 @@ def dataset_counts(spark, d):
 
 
 def split_query(spark, d):
-    seqs = written(fx.sessions(spark, d), "sequences")
-    return train_test_split(seqs).select("id", "is_train", "label")
+    return train_test_split(_sequences(spark, d)).select("id", "is_train", "label")
 
 
 def train_full_query(spark, d):
@@ -160,19 +164,19 @@ def final_state(spark, d):
 
 
 def classify_stay(spark, d):
-    return score.classify_stay(fx.sessions(spark, d), _calm_model(spark, d)).select(
+    return score.classify_stay(_sequences(spark, d), _calm_model(spark, d)).select(
         "id", "final_state", "verdict"
     )
 
 
 def classify_reason(spark, d):
-    return score.classify_reason(fx.sessions(spark, d), _calm_model(spark, d)).select(
+    return score.classify_reason(_sequences(spark, d), _calm_model(spark, d)).select(
         "id", "accepted", "reason"
     )
 
 
 def classify_from_state(spark, d):
-    return score.classify_stay(fx.sessions(spark, d), _calm_model(spark, d), start=_START).select(
+    return score.classify_stay(_sequences(spark, d), _calm_model(spark, d), start=_START).select(
         "id", "final_state", "verdict"
     )
 
