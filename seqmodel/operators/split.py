@@ -1,7 +1,7 @@
 """Seeded train/test split with an exact training size, without sorting the data.
 
 Rows are ranked by md5(seed:id). Counting rows per leading hex digits (a map-side aggregate of at
-most 65 536 groups) shows which prefix the cut falls into; everything before it is training,
+most 4096 groups) shows which prefix the cut falls into; everything before it is training,
 everything after it is test, decided per row without a shuffle. Only the rows of the boundary
 prefix are ranked, after refining it until it is small.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmodel.operators.ordered import ordered, rows_per_task
+from seqmodel.sources.scratch import written
 
 # Fixed values.
 TRAIN_RATIO = 0.7
@@ -90,7 +91,8 @@ def train_test_split(seqs: DataFrame, ratio: float = TRAIN_RATIO, seed: int = SE
     taken = take - edge.filter(key < cut).count()
     same = _ranked(edge.filter(key == cut), n, limit)
     same = same.withColumn("is_train", F.col("__nth") <= taken).drop("__nth")
-    return clear.unionByName(same).drop("__key")
+    # Which copies are training is settled by writing them: train and test stay disjoint.
+    return clear.unionByName(written(same, "copies")).drop("__key")
 
 
 def _ranked(rows: DataFrame, n: int, limit: int) -> DataFrame:
