@@ -15,6 +15,7 @@ from seqmodel.sources.conn_log import Layout
 from seqmodel.sources.scratch import new_path
 
 _GAP_SECONDS = 6 * 3600
+_LINES_PER_FILE = 20_000_000
 
 
 def _per_source(lines: DataFrame, use) -> DataFrame:
@@ -41,8 +42,8 @@ def _cells(spark, d, names: dict[str, str], keep_malformed: bool = False) -> Dat
 
 
 def _write_log(lines: DataFrame, header: str, path: str) -> None:
-    """Text files that each begin with the header; one file per task, none gathered."""
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Text files that each begin with the header; their number grows with the lines."""
+    n = 1 + lines.count() // _LINES_PER_FILE
     rows = lines.select("value", F.pmod(F.xxhash64("k"), F.lit(n)).alias("file"), F.lit(1).alias("rank"))
     heads = lines.sparkSession.range(n).select(
         F.lit(header).alias("value"), F.col("id").alias("file"), F.lit(0).alias("rank")

@@ -144,7 +144,7 @@ def first_lines(spark: SparkSession, files: list[str], any_line: bool = False) -
         return found[0]["value"] if found else None
 
     headers: dict[str, list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(16) as pool:
+    with ThreadPoolExecutor(32) as pool:
         for path, header in zip(files, pool.map(first_line, files)):
             if header is not None:
                 headers[header].append(path)
