@@ -80,17 +80,19 @@ class Rule:
     good: str
 
 
-#: SQL conditions over the counts. What both or neither condition covers abstains.
+#: SQL conditions over the counts; "false" never votes that way. What both or neither condition covers abstains.
+#: A rule that looks for one kind of damage says nothing about a text without it; the last three look at the
+#: whole and vouch for a text only where none of the frequent kinds of damage shows.
 RULES = (
-    Rule("symbols", "n_symbols > 0.15 * n_words", "n_symbols <= 0.02 * n_words"),
-    Rule("upper", "n_upper_words > 0.3 * n_words", "n_upper_words <= 0.05 * n_words"),
-    Rule("repeats", "n_repeat_words > 0.25 * n_words", "n_repeat_words <= 0.1 * n_words"),
-    Rule("same_next", "n_same_next > 0.1 * n_words", "n_same_next <= 0.02 * n_words"),
-    Rule("dup_lines", "n_dup_lines > 0.4 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
-    Rule("stops", "n_stops < 0.02 * n_words", "n_stops > 0.08 * n_words"),
-    Rule("variety", "n_distinct_words < 0.1 * n_words", "n_distinct_words > 0.3 * n_words"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 11 * n_words"),
-    Rule("length", "n_words < 20", "n_words >= 50"),
+    Rule("symbols", "n_symbols > 0.15 * n_words", "false"),
+    Rule("upper", "n_upper_words > 0.3 * n_words", "false"),
+    Rule("repeats", "n_repeat_words > 0.25 * n_words", "false"),
+    Rule("same_next", "n_same_next > 0.1 * n_words", "false"),
+    Rule("dup_lines", "n_dup_lines > 0.5 * n_lines", "false"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "false"),
+    Rule("calm", "n_symbols + n_upper_words > 0.5 * n_words", "n_symbols + n_upper_words <= 0.05 * n_words and n_same_next <= 0.03 * n_words"),
+    Rule("stops", "n_stops < 0.01 * n_words", "n_stops between 0.06 * n_words and 0.7 * n_words and n_symbols + n_upper_words <= 0.1 * n_words and n_same_next <= 0.03 * n_words"),
+    Rule("variety", "n_distinct_words < 0.05 * n_words", "n_distinct_words > 0.3 * n_words and n_repeat_words <= 0.1 * n_words and n_symbols + n_upper_words <= 0.1 * n_words"),
 )
 
 
