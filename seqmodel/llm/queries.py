@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmodel.llm import qda, secret_scan, token_count, url_filter, weak_rules
+from seqmodel.llm import parity_join, qda, secret_scan, token_count, url_filter, weak_rules
 from seqmodel.llm.url_filter import Rule
 
 
@@ -53,12 +53,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = parity_join.Similarity(size=3, num=90, den=100, slack=0)
+    return parity_join.linked_groups(_table(spark, sf_dir, "documents"), how)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op5_url_filter": op5_url_filter,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {"op5_url_filter": url_filter.sql(URL_RULES)}
