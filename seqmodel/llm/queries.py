@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmodel.llm import parity_join, qda, secret_scan, token_count, url_filter, weak_rules
+from seqmodel.llm import decontaminate, parity_join, qda, secret_scan, token_count, url_filter, weak_rules
 from seqmodel.llm.url_filter import Rule
 
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 # The rules every url is held against.
 URL_RULES = (
     Rule("allow", "org", "/"),
@@ -60,6 +64,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_filter": op5_url_filter,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
@@ -67,4 +72,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {"op5_url_filter": url_filter.sql(URL_RULES)}
+ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": decontaminate.sql(),
+    "op5_url_filter": url_filter.sql(URL_RULES),
+}
