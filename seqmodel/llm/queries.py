@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmodel.llm import decontaminate, parity_join, qda, secret_scan, token_count, url_filter, weak_rules
+from seqmodel.llm import decontaminate, mixing, parity_join, qda, secret_scan, token_count, url_filter, weak_rules
 from seqmodel.llm.url_filter import Rule
 
 
@@ -42,6 +42,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "source", "epoch", "block_order", "doc_order")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op6_source_mixing": op6_source_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
