@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmodel.llm import decontaminate, mixing, parity_join, qda, secret_scan, token_count, url_filter, weak_rules
+from seqmodel.llm import decontaminate, mixing, parity_join, pii, qda, revisits, secret_scan, token_count, url_filter, weak_rules
 from seqmodel.llm.url_filter import Rule
 
 
@@ -19,6 +19,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, key="pii-surrogates-1", count_col="n_replaced")
+
+
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = revisits.resolve_revisits(revisits.captures_of(_table(spark, sf_dir, "pages")))
+    return rows.select("record_id", "canonical_url", "ts", "response_id", "status", revisits.header_text(F.col("merged")).alias("merged"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +78,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_revisit_resolution": op3_revisit_resolution,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
