@@ -17,8 +17,8 @@ from seqmodel.sources.scratch import written
 
 _ONE = np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: A round checks the members of a bucket against so many of them.
-HUBS = 4
+#: The first rounds check the members of a bucket against so many of them, the others against as many as the last.
+HUBS = (1, 32, 256)
 
 
 @dataclass(frozen=True)
@@ -179,23 +179,25 @@ def _checked(pairs: DataFrame, sketched: DataFrame, how: Similarity) -> DataFram
 def _rounds(buckets: DataFrame, sketched: DataFrame, how: Similarity) -> DataFrame:
     """(node, comp) of the sets that link with others.
 
-    ``buckets`` has (key, id). In each round ``HUBS`` members of a bucket, each the one of its part of the ids that lies
-    in most buckets, are checked against its members of other components, and leave it. Buckets whose members are all connected are done: in
-    a group of copies that is nearly all after the first round, and no round makes more pairs than ``HUBS`` times
-    the members.
+    ``buckets`` has (key, id). In each round ``HUBS`` members of a bucket, each the one of its part of the ids that
+    lies in most buckets, are checked against its members of other components, and leave it. Buckets whose members
+    are all connected are done: in a group of copies that is nearly all after the first round, with one hub. What
+    is left then are sets that share words without linking with the hub, and no round makes more pairs than
+    ``HUBS`` times these.
     """
     spark = buckets.sparkSession
     degree = buckets.groupBy("id").agg(F.count("*").alias("degree"))
     rest = written(buckets.join(degree, "id").select("key", "id", "degree", F.col("id").alias("comp")), "buckets")
-    links = None
+    links, turn = None, 0
     while True:
         mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
         rest = written(rest.join(mixed, "key", "left_semi"), "buckets")
         if rest.isEmpty():
             break
         hub = F.struct((-F.col("degree")).alias("d"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
-        hubs = rest.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HUBS))).agg(F.min(hub).alias("h"))
+        hubs = rest.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HUBS[min(turn, len(HUBS) - 1)]))).agg(F.min(hub).alias("h"))
         hubs = written(hubs.select("key", "h.hub", "h.hub_comp"), "hubs")
+        turn += 1
         pairs = (
             rest.join(hubs, "key").where("comp <> hub_comp")
             .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,9 +118,14 @@ class BytePairs:
         return [n + sum(map(get, found)) for n, found in zip(extra, parts, strict=True)]
 
 
-@lru_cache(maxsize=4)
+_LOADED: dict[str, BytePairs] = {}
+
+
 def byte_pairs(path: str) -> BytePairs:
-    return BytePairs(path)
+    """The vocabulary at ``path``, read once per task."""
+    if path not in _LOADED:
+        _LOADED[path] = BytePairs(path)
+    return _LOADED[path]
 
 
 def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
