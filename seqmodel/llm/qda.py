@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmodel.llm.ragged import map_texts, utf8, word_hashes, words
+from seqmodel.llm.ragged import map_texts, slices, utf8, word_hashes, words
 from seqmodel.sources.scratch import written
 
 #: Letters of each byte class, and the share it is taken to have in prose: short texts lean on it.
@@ -130,6 +130,37 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+def _stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    d = len(STATISTICS)
+
+    def stats_of(batch: pa.RecordBatch) -> dict:
+        flat = statistics(batch, text_col).ravel()
+        return {"stats": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, d, dtype=np.int32), pa.array(flat))}
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return written(map_texts(df, [id_col], text_col, stats_of, f"`{id_col}` {kind}, stats array<double>"), "text-statistics")
+
+
+def _learned(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrink: float, ridge: float) -> Discriminant:
+    known = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(~held_out(id_col))
+    return fit(stats.join(known, id_col), "label", shrink, ridge)
+
+
+def accepted(
+    df: DataFrame, labels: DataFrame, least: float = 0.3, shrink: float = 0.1, ridge: float = 0.02,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> DataFrame:
+    """The rows of ``df``, unchanged, that ``quality_scores`` gives at least ``least``; judged row by row, without a join."""
+    model = _learned(_stats(df, id_col, text_col), labels, id_col, label_col, shrink, ridge)
+
+    def kept(batches):
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                yield batch.filter(pa.array(model.score(statistics(batch, text_col)) >= least))
+
+    return df.mapInArrow(kept, df.schema)
+
+
 def quality_scores(
     df: DataFrame, labels: DataFrame, least: float = 0.3, shrink: float = 0.1, ridge: float = 0.02,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -141,16 +172,9 @@ def quality_scores(
     teach nothing. Only the statistics of the whole text enter the score; null counts as empty text. An empty
     table gives an empty table; without labels every score is near the same. Columns of other names are ignored.
     """
-    kind = df.schema[id_col].dataType.simpleString()
-    d = len(STATISTICS)
-
-    def stats_of(batch: pa.RecordBatch) -> dict:
-        flat = statistics(batch, text_col).ravel()
-        return {"stats": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, d, dtype=np.int32), pa.array(flat))}
-
-    stats = written(map_texts(df, [id_col], text_col, stats_of, f"`{id_col}` {kind}, stats array<double>"), "text-statistics")
-    known = labels.select(F.col(id_col), F.col(label_col).alias("label")).where(~held_out(id_col))
-    model = fit(stats.join(known, id_col), "label", shrink, ridge)
+    kind, d = df.schema[id_col].dataType.simpleString(), len(STATISTICS)
+    stats = _stats(df, id_col, text_col)
+    model = _learned(stats, labels, id_col, label_col, shrink, ridge)
 
     def scored(batches):
         for batch in batches:
