@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ TRUE_LABEL_PART = "malic"
 MISSING = ("", "-")
 NO_SYMBOL = "symbol=unknown"
 
-# A Unicode noncharacter, so it cannot be part of well-formed log text.
-_CUT = "\uffff"
+# Drawn anew in each process, so that no text holds it.
+_CUT = f"\uffff{uuid.uuid4().hex}\uffff"
 _NUMBER = r"^\s*([-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?)"
 
 
@@ -37,7 +38,7 @@ def split_fields(line: Column, delimiter: str) -> Column:
             return (
                 F.when(i % 2 == 1, p)
                 .when(seam, F.lit('"'))
-                .otherwise(F.translate(p, delimiter, _CUT))
+                .otherwise(F.replace(p, F.lit(delimiter), F.lit(_CUT)))
             )
 
         return F.array_join(F.transform(pieces, piece), "")

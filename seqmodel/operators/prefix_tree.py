@@ -32,10 +32,13 @@ def prefix_nodes(votes: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"),
     )
     known = majority(votes.select("symbols", "pos", "neg").unionByName(root))
+    # a hash skips nulls, so a null symbol is told from its absence by a mark before the others
+    marked = F.transform("symbols", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("")))
+    known = known.withColumn("marked", marked)
     size = F.size("symbols")
     steps = known.select("*", F.explode(F.sequence(F.lit(0), size)).alias("depth"))
     ends = F.col("depth") == size
-    rest = F.slice("symbols", F.col("depth") + 1, size - F.col("depth"))
+    rest = F.slice("marked", F.col("depth") + 1, size - F.col("depth"))
     hashed = lambda seed: F.when(F.col("accepting"), F.xxhash64(F.lit(seed), rest))
     rows = steps.select(
         F.slice("symbols", F.lit(1), F.col("depth")).alias("prefix"),

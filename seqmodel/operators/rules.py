@@ -276,7 +276,7 @@ def frontier_rules(events: DataFrame, key: str, rules: Rules, max_rounds: int =
 
     Round r holds the configurations after r rules, so the first round a configuration shows up in
     has its shortest path and equal configurations of one round keep the smallest. ``max_rounds``
-    bounds rules that push without reading.
+    bounds rules that push without reading; a search that is not over by then is an error, no reject.
     """
     spark = events.sparkSession
     chain = rules.empty_chain()
@@ -337,22 +337,25 @@ def frontier_rules(events: DataFrame, key: str, rules: Rules, max_rounds: int =
             seen = seen.unionByName(frontier)
             if number % 16 == 0:
                 seen = written(seen, "seen")
+    else:
+        raise RuntimeError(f"the rules still push without reading after {max_rounds} steps: no verdict")
     return best.select(key, (~F.col("best.open")).alias("accepted"), F.col("best.path").alias("path"))
 
 
 def rule_attempts(events: DataFrame, key: str, order: list[str], symbol: str, rules: Rules,
-                  end: str | None = None, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
+                  end: str | None = None, chunk_events: int = CHUNK_EVENTS,
+                  max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(key, accepted, path) per sequence of event rows; ``end`` is a symbol put after the last one."""
 
     def placed(rows: DataFrame) -> DataFrame:
-        rows = positions(rows, [key], order).select(key, "pos", F.col(symbol).alias("symbol"))
+        rows = positions(rows, [key], [*order, symbol]).select(key, "pos", F.col(symbol).alias("symbol"))
         if end is None:
             return rows
         last = rows.groupBy(key).agg((F.max("pos") + 1).alias("pos"))
         return rows.unionByName(last.withColumn("symbol", F.lit(end)))
 
     if rules.empty_chain() is None:
-        return frontier_rules(placed(events), key, rules)
+        return frontier_rules(placed(events), key, rules, max_rounds)
     fold = Fold(rules)
     small, large, _ = parted_by_size(events, [key], chunk_events)
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("__s"))))

@@ -7,7 +7,7 @@ in the sink if the tree does not have it. Three rules for symbols the model does
 - ``*_stay``: they leave the state as it is, which equals leaving them out;
 - ``classify_reason``: the walk fails there and says where.
 
-Whatever depends on a sequence's content only is computed once per distinct sequence and joined
+A row without a sequence (null) is negative and has no state. Whatever depends on a sequence's content only is computed once per distinct sequence and joined
 back, so copies cost nothing. These per-sequence results are written first: while they are small
 the rows are scored by a broadcast join and never shuffled; past that size it is a sort-merge join,
 of which AQE splits the partition that one frequent sequence makes large.
@@ -25,6 +25,7 @@ from seqmodel.sources.scratch import written
 POSITIVE, NEGATIVE = "Malicious", "Benign"
 ACCEPTED = "accepted"
 NO_TRANSITION = "no transition on '%s' from state '%s' at position %d"
+NO_SEQUENCE = "no sequence"
 NOT_ACCEPTING = "ended in non-accepting state '%s'"
 
 
@@ -88,7 +89,8 @@ def classify_stay(seqs: DataFrame, model: Model, start: str | None = None) -> Da
         "symbols", state_name(F.col("state_id")).alias("final_state"),
         verdict(F.col("accepting")).alias("verdict"),
     )
-    return seqs.join(written(states, "verdicts", lookup=True), "symbols")
+    joined = seqs.join(written(states, "verdicts", lookup=True), "symbols", "left")
+    return joined.withColumn("verdict", F.coalesce("verdict", F.lit(NEGATIVE)))
 
 
 def classify_reason(seqs: DataFrame, model: Model) -> DataFrame:
@@ -105,7 +107,10 @@ def classify_reason(seqs: DataFrame, model: Model) -> DataFrame:
     accepted = stop.isNull() & F.col("accepting")
     reason = F.when(stop.isNotNull(), failed).when(accepted, F.lit(ACCEPTED)).otherwise(ended)
     verdicts = states.select("symbols", accepted.alias("accepted"), reason.alias("reason"))
-    return seqs.join(written(verdicts, "verdicts", lookup=True), "symbols")
+    joined = seqs.join(written(verdicts, "verdicts", lookup=True), "symbols", "left")
+    return joined.withColumns({
+        "accepted": F.coalesce("accepted", F.lit(False)), "reason": F.coalesce("reason", F.lit(NO_SEQUENCE)),
+    })
 
 
 def state_paths(seqs: DataFrame, model: Model) -> DataFrame:

@@ -1,8 +1,7 @@
 """Event rows to sequences: one per key, or one per key and quiet gap.
 
-A sequence is one row, so its length must have a bound that does not depend on the data. A session
-is therefore cut after ``max_events`` events and goes on in the next sequence (`id#1`, `id#2`, ...):
-no event is dropped and no group grows past the bound, however many events one key has.
+A sequence is one row and holds its whole session, so a session has to fit into a row (some 10^8
+symbols). Operators that need no row per session (stack checks, positions) work on the event rows.
 """
 
 from __future__ import annotations
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 
 from seqmodel.operators.ordered import Ordered, ordered
 
-MAX_EVENTS = 256
-
 
 def positions(events: DataFrame, keys: list[str], order: list[str], out: str = "pos",
               limit: int | None = None) -> DataFrame:
@@ -22,32 +19,21 @@ def positions(events: DataFrame, keys: list[str], order: list[str], out: str = "
     return rows.withColumn(out, (F.col(out) - 1).cast("long"))
 
 
-def _collected(rows: DataFrame, keys: list[str], seq_id: Column, symbol: Column, label: Column,
-               max_events: int) -> DataFrame:
-    chunk = F.floor(F.col("pos") / max_events).cast("long")
-    parts = (
-        rows.withColumn("__chunk", chunk)
-        .groupBy(*keys, "__chunk")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("pos", symbol.alias("s")))).alias("__items"),
-            label.alias("label"),
-        )
-    )
-    part_no = F.col("__chunk").cast("string")
-    return parts.select(
-        F.when(F.col("__chunk") == 0, seq_id).otherwise(F.concat(seq_id, F.lit("#"), part_no)).alias("id"),
-        F.transform("__items", lambda x: x["s"]).alias("symbols"),
+def _collected(rows: DataFrame, keys: list[str], order: list[str], symbol: Column,
+               label: Column) -> DataFrame:
+    """(id, symbols, label) per key; events of equal order are sorted by symbol."""
+    items = F.array_sort(F.collect_list(F.struct(*order, symbol.alias("__symbol"))))
+    return rows.groupBy(*keys).agg(items.alias("__items"), label.alias("label")).select(
+        F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("id"),
+        F.transform("__items", lambda x: x["__symbol"]).alias("symbols"),
         "label",
     )
 
 
 def session_sequences(events: DataFrame, keys: list[str], order: list[str], symbol: Column,
-                      label: Column, max_events: int = MAX_EVENTS,
-                      limit: int | None = None) -> DataFrame:
+                      label: Column) -> DataFrame:
     """(id, symbols, label) per key; ``label`` is an aggregate over the sequence's events."""
-    rows = positions(events, keys, order, limit=limit)
-    seq_id = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return _collected(rows, keys, seq_id, symbol, label, max_events)
+    return _collected(events, keys, order, symbol, label)
 
 
 def gap_sessions(events: DataFrame, keys: list[str], time: str, tiebreak: str, gap_seconds: int,
@@ -63,13 +49,6 @@ def gap_sessions(events: DataFrame, keys: list[str], time: str, tiebreak: str, g
 
 def session_gap_sequences(events: DataFrame, keys: list[str], time: str, tiebreak: str,
                           gap_seconds: int, symbol: Column, label: Column,
-                          max_events: int = MAX_EVENTS, limit: int | None = None) -> DataFrame:
-    sessions = gap_sessions(events, keys, time, tiebreak, gap_seconds, limit)
-    # The first event of a session carries the key-wide position, so the place inside the session
-    # is a difference and needs no second grouping.
-    sessions = sessions.running_sum(F.lit(1), "__nth")
-    first = F.when((F.col("__starts") == 1) | (F.col("__nth") == 1), F.col("__nth"))
-    rows = sessions.running_last(first, "__first").rows()
-    rows = rows.withColumn("pos", (F.col("__nth") - F.col("__first")).cast("long"))
-    seq_id = F.concat_ws("|", *[F.col(k).cast("string") for k in [*keys, "session"]])
-    return _collected(rows, [*keys, "session"], seq_id, symbol, label, max_events)
+                          limit: int | None = None) -> DataFrame:
+    rows = gap_sessions(events, keys, time, tiebreak, gap_seconds, limit).rows()
+    return _collected(rows, [*keys, "session"], [time, tiebreak], symbol, label)

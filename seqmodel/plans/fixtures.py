@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqmodel.functions.once import with_once
 from seqmodel.functions.text import record_symbols
-from seqmodel.operators.sessions import MAX_EVENTS, session_sequences
+from seqmodel.operators.sessions import session_sequences
 from seqmodel.sources.wide_table import wide_sequences
 
 
@@ -46,14 +46,12 @@ def sessions(spark: SparkSession, sf_dir: str, where: str | None = None) -> Data
 
 def sessions_sql(name: str = "seqs", where: str = "true") -> str:
     return f"""{name}_ev as (
-  select user_id, cast(ts as date) as day, ts, event_id, 'event=' || event_type as symbol, value,
-         (row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) - 1)
-           // {MAX_EVENTS} as chunk
+  select user_id, cast(ts as date) as day, ts, event_id, 'event=' || event_type as symbol, value
   from events where {where}),
 {name} as (
-  select user_id || '|' || day || case when chunk = 0 then '' else '#' || chunk end as id,
+  select user_id || '|' || day as id,
          list(symbol order by ts, event_id) as symbols, max(value) > {SESSION_LIMIT} as label
-  from {name}_ev group by user_id, day, chunk)"""
+  from {name}_ev group by user_id, day)"""
 
 
 # Records: one sequence of three symbols per order, positive for a large total.

@@ -9,10 +9,12 @@ from seqmodel.functions.text import (
     is_positive_label, leading_number, record_symbols, symbols_from_blanks, symbols_from_commas,
 )
 from seqmodel.operators.sessions import session_gap_sequences
+from seqmodel.operators.sessions import session_sequences as collected
 from seqmodel.plans import fixtures as fx
 from seqmodel.sources import conn_log
 from seqmodel.sources.conn_log import Layout
 from seqmodel.sources.scratch import new_path
+from seqmodel.sources.wide_table import read_wide_table
 
 _GAP_SECONDS = 6 * 3600
 _LINES_PER_FILE = 20_000_000
@@ -64,6 +66,30 @@ def ingest_conn_log(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("host", "resp_host", "uid", "ts", fx.text().alias("symbols"), "label")
 
 
+def ingest_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """The data lines that end before their label."""
+    return _per_source(fx.log_lines(spark, d), lambda rows, h: conn_log.rejected_lines(rows, h).select("k", "value"))
+
+
+def ingest_wide_table(spark: SparkSession, d: str) -> DataFrame:
+    """Wide rows go to text files with a header and come back through the reader."""
+    rows = fx.table(spark, d, "part").selectExpr(*fx.selected(fx.WIDE_EXPR))
+    cells = ["t_1", "id", "t_2", "kind", "t_3"]
+    lines = rows.select(F.col("id").alias("k"), F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cells]).alias("value"))
+    path = new_path(spark, "wide_table")
+    _write_log(lines, "t_1,hash,t_2,malware,t_3", path)
+    return read_wide_table(spark, [path]).select("id", fx.text().alias("symbols"), "label")
+
+
+def sessions_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Long sessions: one per event type."""
+    seqs = collected(
+        fx.table(spark, d, "events"), ["event_type"], ["ts", "event_id"],
+        F.concat(F.lit("user="), F.pmod("user_id", F.lit(10)).cast("string")), F.max("event_id") % 2 == 0,
+    )
+    return seqs.select("id", F.size("symbols").cast("long").alias("n"), F.md5(fx.text()).alias("symbols"), "label")
+
+
 def ingest_skip_comments(spark, d):
     return conn_log.data_lines(fx.log_lines(spark, d))
 
@@ -186,6 +212,8 @@ QUERIES = {
     "ingest_quoted_fields": ingest_quoted_fields,
     "ingest_bind_columns": ingest_bind_columns,
     "ingest_malformed_split": ingest_malformed_split,
+    "ingest_rejects": ingest_rejects,
+    "ingest_wide_table": ingest_wide_table,
     "label_normalize": label_normalize,
     "ts_parse": ts_parse,
     "sample_id": sample_id,
@@ -195,6 +223,7 @@ QUERIES = {
     "wide_drop_empty": wide_drop_empty,
     "union_inputs": union_inputs,
     "session_sequences": session_sequences,
+    "sessions_by_type": sessions_by_type,
     "session_gap_sequences": session_gaps,
     "parse_sequence_text": parse_sequence_text,
 }
@@ -213,6 +242,13 @@ select source, delim, len(fields) as n_fields, count(*) as n from split group by
 select k, array_to_string(fields, '~') as fields from split""",
     "ingest_bind_columns": f"""with recursive {fx.BOUND_SQL}
 select k, uid, host, proto, service, conn_state, label_text from bound""",
+    "ingest_rejects": f"""with recursive {fx.BOUND_SQL}
+select k, value from bound where len(fields) < label_at""",
+    "ingest_wide_table": f"""with {fx.wide_sql()}
+select cast(id as varchar) as id, array_to_string(symbols, '|') as symbols, label from wide""",
+    "sessions_by_type": """select event_type as id, count(*) as n,
+       md5(string_agg('user=' || user_id % 10, '|' order by ts, event_id)) as symbols,
+       max(event_id) % 2 = 0 as label from events group by event_type""",
     "ingest_malformed_split": f"""with recursive {fx.BOUND_SQL}
 select k, len(fields) < label_at as rejected from bound""",
     "label_normalize": f"with recursive {fx.BOUND_SQL} select k, label_text, label from rows_ok",
@@ -243,14 +279,11 @@ select id, array_to_string(symbols, '|') as symbols, label from seqs""",
   select *, lag(ts) over (partition by user_id order by ts, event_id) as prev from events),
 sess as (
   select *, sum(case when date_diff('microsecond', prev, ts) > {_GAP_SECONDS * 1_000_000} then 1 else 0 end)
-            over (partition by user_id order by ts, event_id) as session from before),
-placed as (
-  select *, (row_number() over (partition by user_id, session order by ts, event_id) - 1) // {fx.MAX_EVENTS} as chunk
-  from sess)
-select user_id || '|' || session || case when chunk = 0 then '' else '#' || chunk end as id,
+            over (partition by user_id order by ts, event_id) as session from before)
+select user_id || '|' || session as id,
        string_agg('event=' || event_type, '|' order by ts, event_id) as symbols,
        max(value) > {fx.SESSION_LIMIT} as label
-from placed group by user_id, session, chunk""",
+from sess group by user_id, session""",
     "parse_sequence_text": r"""with parts as (
   select doc_id,
          case when text = '' then [] else

@@ -50,6 +50,25 @@ def stack_trace(spark, d):
              "current_state", "next_state")
 
 
+# Events as symbols of the default form: two of them push and pop, the others name a control state.
+_DEFAULT_SYMBOL = """case event_type when 'view' then 'state=S0' when 'purchase' then 'state=SF'
+  when 'click' then 'proto=tcp' when 'signup' then 'proto=udp' else 'proto=' || event_type end"""
+
+
+def stack_trace_full(spark, d):
+    """Every step with the stack after it, and the verdict of its sequence; the default symbols."""
+    events = fx.session_events(spark, d).withColumn(
+        "symbol", F.expr(_DEFAULT_SYMBOL.replace("event_type", "substring(symbol, 7)"))
+    )
+    trace = stack.stack_trace(events, fx.SESSION_KEYS, fx.SESSION_ORDER)
+    verdicts = stack.stack_balance(events, fx.SESSION_KEYS, fx.SESSION_ORDER)
+    return trace.join(verdicts, fx.SESSION_KEYS).select(
+        F.concat_ws("|", "user_id", "day").alias("id"), "step", "op", "symbol",
+        F.array_join(stack.stack_after(F.col("stack_depth")), "|").alias("stack_after"),
+        "current_state", "next_state", "ok",
+    )
+
+
 TURN_RULES = Rules(fx.TURN_RULES, "Start", ["Accept"])
 
 
@@ -88,6 +107,7 @@ QUERIES = {
     "stack_balance_turns": stack_balance_turns,
     "stack_balance_records": stack_balance_records,
     "stack_trace": stack_trace,
+    "stack_trace_full": stack_trace_full,
     "rule_conformance": rule_conformance,
     "rule_best_attempt": rule_best_attempt,
     "rule_step_trace": rule_step_trace,
@@ -165,6 +185,25 @@ select id, nth as step, symbol,
        greatest(depth, 0) as stack_depth,
        coalesce(lag(next_state) over (partition by id order by nth), 'Start') as current_state, next_state
 from running left join bad using (id) where first_error is null or nth <= first_error""",
+    "stack_trace_full": f"""with named as (
+  select user_id || '|' || cast(ts as date) as id, {_DEFAULT_SYMBOL} as symbol,
+         row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) - 1 as nth
+  from events),
+running as (
+  select *, sum(case symbol when 'state=S0' then 1 when 'state=SF' then -1 else 0 end) over w as depth,
+         case when symbol = 'proto=tcp' then 'TCP' when symbol = 'proto=udp' then 'UDP'
+              when symbol like 'proto=%' then 'OTHER' end as switch
+  from named window w as (partition by id order by nth)),
+controlled as (
+  select *, coalesce(last_value(switch ignore nulls) over (partition by id order by nth), 'Start') as next_state,
+         coalesce(last_value(switch ignore nulls) over (partition by id order by nth
+                  rows between unbounded preceding and 1 preceding), 'Start') as current_state from running),
+ends as (select id, min(nth) filter (depth < 0) as first_error, last(depth order by nth) as final from running group by id)
+select id, nth as step, symbol,
+       case when depth < 0 then 'POP_ERROR' when symbol = 'state=S0' then 'PUSH' when symbol = 'state=SF' then 'POP' else 'NO_OP' end as op,
+       array_to_string(list_transform(range(greatest(depth, 0)::bigint), lambda x: 'state=S0'), '|') as stack_after,
+       current_state, next_state, first_error is null and final = 0 as ok
+from controlled join ends using (id) where first_error is null or nth <= first_error""",
     "rule_conformance": f"{_SEARCH} select conv_id, accepted from best",
     "rule_best_attempt": f"""{_SEARCH}
 select conv_id, accepted, case when consumed = 0 then '' else array_to_string(path, ',') end as path from best""",

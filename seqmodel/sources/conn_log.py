@@ -7,6 +7,7 @@ are then read by one scan.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -27,7 +28,8 @@ FEATURES = (("proto", "proto="), ("conn_state", "state="), ("service", "service=
 TEXT_COLUMNS = (("host", "id.orig_h"), ("resp_host", "id.resp_h"), ("uid", "uid"))
 TIME = "ts"
 
-_NEVER = "\u0001"
+# Drawn anew in each process, so that no line holds it.
+_NEVER = f"\u0001{uuid.uuid4().hex}\u0001"
 
 
 def delimiter_of(header: str) -> str:
@@ -97,6 +99,12 @@ def parse_lines(lines: DataFrame, header: str) -> DataFrame:
     )
 
 
+def rejected_lines(lines: DataFrame, header: str) -> DataFrame:
+    """The malformed lines of one header, as they are."""
+    layout = Layout.of(header)
+    return with_fields(data_lines(lines), layout).filter(~reaches_label(layout)).select(lines.columns)
+
+
 def line_id(source: Column, line: Column, uid: Column | None = None) -> Column:
     """`uid` where there is one, else a digest of file and line. No shuffle; equal lines share it."""
     digest = F.sha2(F.concat_ws("\n", source, line), 256)
@@ -154,13 +162,20 @@ def first_lines(spark: SparkSession, files: list[str], any_line: bool = False) -
 def read_conn_log(spark: SparkSession, paths: list[str], header: str | None = None) -> DataFrame:
     """Labelled sequences of all files. Files without data lines add nothing; all empty is an error."""
     if header is not None:
-        return parse_lines(read_lines(spark, paths), header)
+        return some_rows(unique_ids(parse_lines(read_lines(spark, paths), header)))
     headers = first_lines(spark, files_of(spark, paths))
     if not headers:
         raise ValueError("no sequences in any input")
-    return union_inputs(
+    return some_rows(unique_ids(union_inputs(
         [parse_lines(read_lines(spark, files), head) for head, files in headers.items()]
-    )
+    )))
+
+
+def some_rows(rows: DataFrame) -> DataFrame:
+    """``rows``; inputs that hold headers only are an error. Looks for one row."""
+    if rows.isEmpty():
+        raise ValueError("no sequences in any input")
+    return rows
 
 
 def union_inputs(inputs: list[DataFrame]) -> DataFrame:

@@ -7,26 +7,19 @@ read, and has a size Catalyst knows: a join against it is broadcast only when it
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dir: str | None = None
 _paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode."""
-    global _local_dir
+    """``spark.checkpoint.dir`` of the session, or the folder given to ``setCheckpointDir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="seqmodel-")
-    return _local_dir
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:

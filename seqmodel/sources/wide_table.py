@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqmodel.functions.text import is_positive_label, wide_symbols
-from seqmodel.sources.conn_log import Layout, files_of, first_lines, read_lines, union_inputs, with_fields
+from seqmodel.sources.conn_log import Layout, files_of, first_lines, read_lines, some_rows, union_inputs, with_fields
 
 # The required columns and the step columns' prefix.
 ID, LABEL, STEP_PREFIX = "hash", "malware", "t_"
@@ -46,4 +46,4 @@ def read_wide_table(spark: SparkSession, paths: list[str]) -> DataFrame:
         parts.append(
             wide_sequences(named, ID, LABEL, list(cells))
         )
-    return union_inputs(parts)
+    return some_rows(union_inputs(parts))

@@ -174,7 +174,7 @@ def test_rule_search(spark, monkeypatch, block, chunks, rounds):
 
 
 def test_rules_that_go_round_without_input(spark):
-    """A circle of input-free steps comes to rest; a pushing one ends at the round limit."""
+    """A circle of input-free steps comes to rest; a pushing one that reads nothing is an error."""
     from seqmodel.operators.rules import frontier_rules
 
     rows = [(0, "P", None, None, [], "Q"), (1, "Q", None, None, [], "P"), (2, "Q", "a", None, [], "R")]
@@ -187,5 +187,7 @@ def test_rules_that_go_round_without_input(spark):
         "P", ["R"],
     )
     placed = events.withColumnRenamed("i", "pos")
-    found = frontier_rules(placed, "id", pushing, max_rounds=5)
-    assert {r.id: (r.accepted, r.path) for r in found.collect()} == {1: (True, [0, 1]), 2: (False, [])}
+    found = frontier_rules(placed.filter("id = 1"), "id", pushing, max_rounds=5)
+    assert {r.id: (r.accepted, r.path) for r in found.collect()} == {1: (True, [0, 1])}
+    with pytest.raises(RuntimeError, match="no verdict"):
+        frontier_rules(placed, "id", pushing, max_rounds=5)

@@ -1,5 +1,7 @@
 """Large groups take another way; its results must be the same."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,9 +43,9 @@ def test_hot_key_is_cut(events):
 @pytest.mark.parametrize("make", [
     lambda e, n: sessions.positions(e, ["key"], ["ts", "id"], limit=n),
     lambda e, n: sessions.session_sequences(e, ["key"], ["ts", "id"], F.col("symbol"),
-                                            F.max("value") > 90, max_events=16, limit=n),
+                                            F.max("value") > 90),
     lambda e, n: sessions.session_gap_sequences(e, ["key"], "ts", "id", 600, F.col("symbol"),
-                                                F.max("value") > 90, max_events=16, limit=n),
+                                                F.max("value") > 90, limit=n),
     lambda e, n: stack.stack_balance(e, ["key"], ["ts", "id"], push="up", pop="down", limit=n),
     lambda e, n: stack.stack_trace(e, ["key"], ["ts", "id"], push="up", pop="down", limit=n),
     lambda e, n: stack.stack_trace(e.filter("symbol <> 'down'"), ["key"], ["ts", "id"], push="up",
@@ -54,11 +56,23 @@ def test_same_result(events, make):
     assert rows_of(make(events, LIMIT)) == rows_of(make(events, 10**6))
 
 
-def test_sequences_have_a_bound_and_keep_all_events(events):
-    seqs = sessions.session_sequences(events, ["key"], ["ts", "id"], F.col("symbol"),
-                                      F.max("value") > 90, max_events=16, limit=LIMIT)
-    got = seqs.agg(F.max(F.size("symbols")), F.sum(F.size("symbols")), F.count_distinct("id")).first()
-    assert tuple(got) == (16, 1800, seqs.count())
+def test_sessions_stay_whole(events):
+    seqs = sessions.session_sequences(events, ["key"], ["ts", "id"], F.col("symbol"), F.max("value") > 90)
+    sizes = {r["key"]: r["count"] for r in events.groupBy("key").count().collect()}
+    assert {int(r.id) if r.id else None: len(r.symbols) for r in seqs.collect()} == sizes and max(sizes.values()) > 256
+
+
+def test_long_session_has_one_label_and_takes_linear_time(spark):
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).alias("k"), "id", F.concat(F.lit("s"), F.col("id") % 7).alias("symbol"))
+        seqs = sessions.session_sequences(rows, ["k"], ["id"], F.col("symbol"), F.max("id") > n - 2)
+        started = time.perf_counter()
+        got = seqs.select(F.size("symbols"), "label", F.element_at("symbols", -1)).collect()
+        assert [tuple(r) for r in got] == [(n, True, f"s{(n - 1) % 7}")]
+        return time.perf_counter() - started
+
+    seconds(1000)
+    assert seconds(400_000) < 20 * max(seconds(100_000), 0.5)
 
 
 def test_copies_get_unique_ids(spark):

@@ -130,3 +130,32 @@ def test_written_tables_can_be_dropped(spark):
     assert Path(mine.removeprefix("file:")).exists()
     scratch.drop_written(spark)
     assert not Path(mine.removeprefix("file:")).exists()
+
+
+HEADER = "uid|proto|conn_state|service|label"
+
+
+def log_file(folder, name, lines):
+    (folder / name).write_text("\n".join([HEADER, *lines]) + "\n", encoding="utf-8")
+    return str(folder / name)
+
+
+def test_no_character_is_a_mark(spark, tmp_path):
+    lines = ["a|tcp\u0001x|S0|dns|malicious", 'b|"t￿|p"|S0|-|Malicious', "c|t￿p|S0|-|benign"]
+    rows = {r.id: r for r in read_conn_log(spark, [log_file(tmp_path, "x.log", lines)]).collect()}
+    assert {i: r.label for i, r in rows.items()} == {"a": True, "b": True, "c": False}
+    assert rows["a"].symbols[0] == "proto=tcp\u0001x" and rows["b"].symbols[0] == "proto=t￿|p"
+
+
+def test_equal_lines_have_ids_of_their_own(spark, tmp_path):
+    path = log_file(tmp_path, "x.log", ["-|tcp|S0|dns|benign"] * 3 + ["u|tcp|S0|dns|benign"] * 2)
+    ids = [r.id for r in read_conn_log(spark, [path]).collect()]
+    assert len(ids) == 5 and len(set(ids)) == 5 and {"u", "u#2"} <= set(ids)
+
+
+def test_headers_without_lines_are_an_error(spark, tmp_path):
+    paths = [log_file(tmp_path, "a.log", []), log_file(tmp_path, "b.log", ["# only a comment"])]
+    with pytest.raises(ValueError, match="no sequences"):
+        read_conn_log(spark, paths)
+    with pytest.raises(ValueError, match="no sequences"):
+        read_conn_log(spark, paths, header=HEADER)
