@@ -17,8 +17,11 @@ from seqmodel.sources.scratch import written
 
 _ONE = np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: The first rounds check the members of a bucket against so many of them, the others against as many as the last.
-HUBS = (1, 32, 256)
+#: Members of a bucket that are compared in one block, and words of the sketch that is compared.
+BLOCK = 256
+WORDS = 32
+#: Rounds in which members are checked against a hub before the rest is compared block by block.
+HUB_ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -82,6 +85,14 @@ class Similarity:
         return np.concatenate(out)
 
 
+def sketch_of(elements: np.ndarray) -> bytes:
+    """Parity of the elements hashed to each of 64 ``WORDS`` bits; the Hamming distance of two is at most their difference."""
+    words_ = np.zeros(WORDS, np.uint64)
+    hashed = mix(elements ^ (_ODD >> _ONE))
+    np.bitwise_xor.at(words_, ((hashed >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64), _ONE << (hashed & np.uint64(63)))
+    return words_.tobytes()
+
+
 def _digest(elements: np.ndarray) -> tuple[int, int]:
     a = mix(elements).sum(dtype=np.uint64)
     b = np.bitwise_xor.reduce(mix(elements ^ _ODD)) if len(elements) else np.uint64(0)
@@ -146,7 +157,7 @@ def _linkable(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
 
 
 def _sketched(docs: DataFrame, chosen: DataFrame, how: Similarity) -> DataFrame:
-    """(id, n, elements, keys) of the chosen documents; the digest tells rows of equal id apart."""
+    """(id, n, elements, keys, sketch) of the chosen documents; the digest tells rows of equal id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -155,13 +166,13 @@ def _sketched(docs: DataFrame, chosen: DataFrame, how: Similarity) -> DataFrame:
                 found = shingle_sets(*utf8(batch.column("text")), how.size)
                 for no, d1, d2, s in zip(*[batch.column(c).to_pylist() for c in ("id", "d1", "d2")], found, strict=True):
                     if _digest(s) == (d1, d2):
-                        rows.append((no, len(s), s.view(np.int64), how.keys(s).view(np.int64)))
+                        rows.append((no, len(s), s.view(np.int64), how.keys(s).view(np.int64), sketch_of(s)))
                 if rows:
-                    no, n, s, k = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"id": no, "n": n, "elements": list(s), "keys": list(k)})
+                    no, n, s, k, bits = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_pydict({"id": no, "n": n, "elements": list(s), "keys": list(k), "sketch": list(bits)})
 
     joined = docs.join(chosen.select("id", "d1", "d2"), "id").select("id", "d1", "d2", "text")
-    return joined.mapInArrow(run, "id long, n long, elements array<bigint>, keys array<bigint>")
+    return joined.mapInArrow(run, "id long, n long, elements array<bigint>, keys array<bigint>, sketch binary")
 
 
 def _checked(pairs: DataFrame, sketched: DataFrame, how: Similarity) -> DataFrame:
@@ -176,49 +187,129 @@ def _checked(pairs: DataFrame, sketched: DataFrame, how: Similarity) -> DataFram
     )
 
 
+def _near(members: DataFrame, how: Similarity) -> DataFrame:
+    """(a, b): pairs of different components in a bucket whose sketches differ in no more bits than linked sets may.
+
+    ``members`` has (key, rows, id, comp, n, sketch), ``rows`` being the size of the bucket. Large buckets are cut into
+    blocks by a hash of the id, and each pair of blocks is a group of its own of some 2 ``BLOCK`` rows; groups are
+    sorted together and compared one by one, with bit counts over whole blocks.
+    """
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    spread = (
+        members.withColumn("blocks", blocks).withColumn("own", own)
+        .select("key", "id", "comp", "n", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "comp", "n", "sketch")
+    )
+
+    def compared(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        first = group["own"] == group["x"][0]
+        left = np.flatnonzero(first)
+        right = left if group["x"][0] == group["y"][0] else np.flatnonzero(~first)
+        out_a, out_b = [], []
+        for start in range(0, len(left), 64):
+            rows = left[start : start + 64]
+            apart = np.zeros((len(rows), len(right)), np.int64)
+            for w in range(WORDS):
+                apart += np.bitwise_count(group["sketch"][rows, w][:, None] ^ group["sketch"][right, w][None, :])
+            total = group["n"][rows][:, None] + group["n"][right][None, :]
+            near = (apart * (how.den + how.num) <= total * (how.den - how.num)) & (group["comp"][rows][:, None] != group["comp"][right][None, :])
+            i, j = np.nonzero(near)
+            out_a.append(group["id"][rows[i]])
+            out_b.append(group["id"][right[j]])
+        a, b = np.concatenate(out_a or [group["id"][:0]]), np.concatenate(out_b or [group["id"][:0]])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    names = ("key", "x", "y", "own", "id", "comp", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+
+        def closed(table: dict[str, np.ndarray], last: bool):
+            """Compares all groups but the last, which may go on in the next batch; hands that back."""
+            n = len(table["key"])
+            new = np.ones(n, bool)
+            new[1:] = (np.diff(table["key"]) != 0) | (np.diff(table["x"]) != 0) | (np.diff(table["y"]) != 0)
+            edges = [*np.flatnonzero(new), n]
+            found = []
+            for s, e in zip(edges[: -1 if last else -2], edges[1:], strict=False):
+                if e - s > 1:
+                    found.append(compared({c: v[s:e] for c, v in table.items()}))
+            left = {c: v[edges[-2] :] for c, v in table.items()}
+            return found, left
+
+        def made(found):
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = {c: np.asarray(batch.column(c), np.int64) for c in names}
+            table["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+            if rest is not None:
+                table = {c: np.concatenate((rest[c], table[c])) for c in table}
+            found, rest = closed(table, last=False)
+            yield made(found)
+        if rest is not None:
+            yield made(closed(rest, last=True)[0])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = spread.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return sorted_.select(*names, "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
 def _rounds(buckets: DataFrame, sketched: DataFrame, how: Similarity) -> DataFrame:
     """(node, comp) of the sets that link with others.
 
-    ``buckets`` has (key, id). In each round ``HUBS`` members of a bucket, each the one of its part of the ids that
-    lies in most buckets, are checked against its members of other components, and leave it. Buckets whose members
-    are all connected are done: in a group of copies that is nearly all after the first round, with one hub. What
-    is left then are sets that share words without linking with the hub, and no round makes more pairs than
-    ``HUBS`` times these.
+    ``buckets`` has (key, id). First every set is checked against one hub: of the members that lie in most buckets, the
+    one it meets most often. That connects groups of copies without making their pairs, and is repeated while it
+    finds links, at most ``HUB_ROUNDS`` times. In the buckets whose members are not all connected then, members of
+    different components are compared by their sketches, block by block, and the near ones exactly.
     """
-    spark = buckets.sparkSession
     degree = buckets.groupBy("id").agg(F.count("*").alias("degree"))
     rest = written(buckets.join(degree, "id").select("key", "id", "degree", F.col("id").alias("comp")), "buckets")
-    links, turn = None, 0
-    while True:
-        mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        rest = written(rest.join(mixed, "key", "left_semi"), "buckets")
-        if rest.isEmpty():
-            break
+    links, labels = None, None
+    for turn in range(HUB_ROUNDS + 1):
         hub = F.struct((-F.col("degree")).alias("d"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
-        hubs = rest.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(HUBS[min(turn, len(HUBS) - 1)]))).agg(F.min(hub).alias("h"))
-        hubs = written(hubs.select("key", "h.hub", "h.hub_comp"), "hubs")
-        turn += 1
-        pairs = (
-            rest.join(hubs, "key").where("comp <> hub_comp")
-            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        mixed = (
+            rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.min(hub).alias("h"))
+            .where("low <> high").select("key", "rows", "h.hub", "h.hub_comp")
         )
+        rest = written(rest.select("key", "id", "degree", "comp").join(mixed, "key"), "buckets")
+        if turn == HUB_ROUNDS or rest.isEmpty():
+            break
+        met = rest.where("comp <> hub_comp").groupBy("id", "hub").agg(F.count("*").alias("times"))
+        best = met.groupBy("id").agg(F.min(F.struct((-F.col("times")).alias("t"), "hub")).alias("m"))
+        pairs = best.select(F.least("id", "m.hub").alias("a"), F.greatest("id", "m.hub").alias("b")).distinct()
         found = written(_checked(pairs, sketched, how), "links")
-        links = found if links is None else written(links.union(found), "links")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
         labels = components(links)
-        rest = rest.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "id").withColumnRenamed("comp", "new"), "id", "left").select(
-            "key", "id", "degree", F.coalesce("new", "id").alias("comp")
-        )
-    if links is None:
-        return spark.createDataFrame([], "node long, comp long")
-    return components(links)
+        rest = _labelled(rest, labels)
+    if not rest.isEmpty():
+        members = rest.join(sketched.select("id", "n", "sketch"), "id")
+        pairs = written(_near(members, how), "near")
+        found = written(_checked(pairs, sketched, how), "links")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    if labels is None:
+        return buckets.sparkSession.createDataFrame([], "node long, comp long")
+    return labels
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    new = labels.select(F.col("node").alias("id"), F.col("comp").alias("new"))
+    return rows.drop("comp").join(new, "id", "left").withColumn("comp", F.coalesce("new", "id")).drop("new")
 
 
 def linked_groups(df: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id)`` of every row: the smallest id it reaches over links, itself included.
 
     Exact for every pair: copies of one set are one set; sets that provably link with none are put aside; the rest
-    meet where words of their sketches agree and are compared element by element. Null texts are empty, empty
+    meet where words of their sketches agree and are compared bit by bit, then element by element. Null texts are empty, empty
     sets link with nothing. Rows with a null id link with nothing and have a null component. Rows of equal id
     and different text are compared each; all get the smallest of their components. An empty table gives an
     empty table. Other columns are not read. Ids are integers.
