@@ -50,10 +50,6 @@ class Similarity:
         """The largest symmetric difference of linked sets of at most these sizes."""
         return int((a + b) * (self.den - self.num) // (self.den + self.num))
 
-    def alone(self, n: np.ndarray) -> np.ndarray:
-        """The most elements that a set of n may have for itself and still link with one of another text."""
-        return n * (self.den - self.num) // self.den
-
     @property
     def sampled(self) -> np.uint64:
         """Elements with hashes below this are looked up in the other sets; enough to tell nearly all loners."""

@@ -368,3 +368,20 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(after, docs.schema) if name != "source_mix" else docs
     assert seen == [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SF).count() == len(after)
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(3, 0), (8, 1)])
+def test_linked_groups_in_small_blocks(spark, monkeypatch, block, rounds):
+    """The comparison of sketches alone, over many blocks, finds all links."""
+    monkeypatch.setattr(parity_join, "BLOCK", block)
+    monkeypatch.setattr(parity_join, "HUB_ROUNDS", rounds)
+    rng = random.Random(13)
+    centre, texts = cases.words(rng, 90).split(), []
+    for _ in range(70):
+        copy = list(centre)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    how = HOWS[0]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.linked_groups(cases.documents(spark, texts, clashing=False), how).collect()}
+    assert got == groups(dict(enumerate(texts)), how)
