@@ -90,6 +90,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_revisit_resolution": revisits.sql(),
     "op4_benchmark_decontamination": decontaminate.sql(),
     "op5_url_filter": url_filter.sql(URL_RULES),
 }

@@ -115,13 +115,13 @@ def header_text(headers: Column) -> Column:
 def captures_of(pages: DataFrame) -> DataFrame:
     """A crawl over all of ``pages``: each page's visit in the order of page ids, and a revisit of the same URL later.
 
-    Visits whose URL hash is divisible by 7 got a 304 themselves. Revisits carry the ETag of the page, every fifth
+    Visits of URLs whose digest begins with 0 or 1 got a 304 themselves. Revisits carry the ETag of the page, every fifth
     another one, every third none but the Last-Modified; header names vary in case. Null ids and urls stay null.
     """
     no, md5 = F.col("page_id"), F.md5(F.coalesce(F.col("html"), F.lit("")))
-    url_hash = F.crc32(F.coalesce(F.col("url"), F.lit("")))
+    known = F.left(F.md5(F.coalesce(F.col("url"), F.lit(""))), F.lit(1)).isin("0", "1")
     first = pages.select(
-        (no * 2).alias("record_id"), "url", (no * 10).alias("ts"), F.when(url_hash % 7 == 0, "revisit").otherwise("response").alias("kind"),
+        (no * 2).alias("record_id"), "url", (no * 10).alias("ts"), F.when(known, "revisit").otherwise("response").alias("kind"),
         md5.alias("digest"),
         F.create_map(
             F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.concat(F.lit('"'), F.left(md5, F.lit(16)), F.lit('"')),
@@ -136,3 +136,31 @@ def captures_of(pages: DataFrame) -> DataFrame:
         .otherwise(F.create_map(*shared, F.lit("etag"), tag)).alias("headers"),
     )
     return first.union(again)
+
+
+def sql() -> str:
+    """``resolve_revisits(captures_of(pages))`` in DuckDB SQL, merged headers as text."""
+    return rf"""
+    with named as (select page_id as no, url, '"' || left(md5(coalesce(html, '')), 16) || '"' as tag,
+        regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as plain from pages),
+    cut as (select *, list_sort(list_filter(string_split(regexp_extract(plain, '^[^?]*\?(.*)$', 1), '&'),
+            lambda p: p <> '' and not regexp_matches(p, '^(?i:{TRACKING})(?:=|$)'))) as kept from named),
+    page as (select no, tag, left(md5(coalesce(url, '')), 1) in ('0', '1') as known,
+        regexp_replace(lower(regexp_extract(plain, '^([^/?]*)', 1)), '^www\.|:(?:80|443)$', '', 'g')
+        || regexp_replace(regexp_extract(plain, '^[^/?]*([^?]*)', 1), '/+$', '')
+        || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as curl from cut),
+    full_ as (select curl, no * 10 as ts, max(no * 2) as response_id, arg_max(tag, no) as old_tag, arg_max('day ' || no, no) as old_day
+        from page where not known group by all),
+    revisit as (
+        select no * 2 as record_id, curl, no * 10 as ts, tag as new_tag, 'day ' || no as new_day, 'max-age=60' as cache, null as date from page where known
+        union all
+        select no * 2 + 1, curl, no * 10 + 5000, case when no % 3 = 0 then null when no % 5 = 0 then '"other"' else 'W/' || tag end,
+            case when no % 3 = 0 then 'day ' || no end, 'max-age=3600', 'day ' || (no + 500) from page),
+    found as (select r.*, response_id, old_tag, old_day, case when response_id is null then 'no_response'
+            when case when new_tag is not null then regexp_replace(new_tag, '^W/', '') = old_tag else new_day = old_day end then 'resolved'
+            else 'mismatch' end as status
+        from revisit r asof left join full_ f on r.curl = f.curl and r.ts > f.ts)
+    select record_id, curl as canonical_url, ts, response_id, status, case when status = 'resolved' then
+        'cache-control: ' || cache || chr(10) || 'content-type: text/html' || coalesce(chr(10) || 'date: ' || date, '') || chr(10)
+        || 'etag: ' || coalesce(new_tag, old_tag) || chr(10) || 'last-modified: ' || coalesce(new_day, old_day) end as merged
+    from found"""
