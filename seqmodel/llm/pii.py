@@ -48,14 +48,33 @@ _ANY_TITLE = re.compile("|".join(sorted({*(t for ts in TITLES.values() for t in
 _EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 _EMAIL_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _DIGIT = re.compile("[0-9]")
+_GROUPED = re.compile(r"[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![0-9])")
+_QUAD = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9])")
+# A number that begins with '+' only starts here: _international finds its end.
 _NUMBERS = re.compile(
-    r"(?<![0-9A-Za-z_])(?<![0-9]\.)(?:"
+    r"(?<![0-9A-Za-z_])(?<![0-9]\.)(?:(?P<plus>\+(?=[0-9]))|(?:"
     r"(?P<ip>(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9]))"
-    r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?!-?[0-9]))"
-    r"|(?P<card>(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4})(?![0-9]))"
-    r"|(?P<phone>(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4})(?![0-9]))"
-    r")(?![A-Za-z_])"
+    rf"|(?P<ssn>{_SSN.pattern})"
+    rf"|(?P<card>[0-9]{{13,19}}(?![0-9])|{_GROUPED.pattern})"
+    r"|(?P<phone>(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])|1?[2-9][0-9]{2}[2-9][0-9]{6}(?!\.?[0-9]))"
+    r")(?![A-Za-z_]))"
 )
+_GROUP = re.compile(r"(?P<gap>[ .\-]?)(?:\((?P<inner>[0-9]{1,4})\)|(?P<plain>[0-9]+))")
+_CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+# How many digits follow a country code, at least and at most.
+PLANS = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9),
+    "36": (8, 9), "39": (8, 11), "40": (9, 9), "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8),
+    "48": (9, 9), "49": (7, 11), "51": (8, 9), "52": (10, 11), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (10, 10), "58": (10, 10),
+    "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10),
+    "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10), "93": (9, 9), "94": (9, 9), "95": (7, 10), "98": (10, 10),
+    "351": (9, 9), "353": (7, 9), "354": (7, 7), "359": (7, 9), "370": (8, 8), "371": (8, 8), "372": (7, 8), "380": (9, 9), "385": (8, 9),
+    "386": (8, 8), "420": (9, 9), "421": (9, 9), "852": (8, 8), "886": (8, 9), "966": (9, 9), "971": (8, 9), "972": (8, 9),
+}
+_LONGEST = 15
+_LETTER = re.compile("[A-Za-z_]")
+_RUN = re.compile(r"(?<![0-9A-Za-z_+])(?<![0-9]\.)[0-9]{8,15}(?![0-9A-Za-z_])(?!\.[0-9])")
 
 
 @dataclass(frozen=True)
@@ -75,12 +94,77 @@ def _national(digits: str) -> str:
     return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
 
 
+def _complete(digits: str) -> bool:
+    """Whether ``digits`` are a country code and as many more as all numbers there have."""
+    code = _CODE.match(digits)
+    return code is not None and PLANS.get(code.group()) == (len(digits) - code.end(),) * 2
+
+
+def _international(text: str, at: int) -> Entity | None:
+    """The phone number at the '+' in place ``at``: as many groups as its country's plan has digits for, else 15 digits at most.
+
+    It ends before a dotted quad, a card or a social security number that begins with a later group. A trunk '(0)' is
+    not one of its digits.
+    """
+    ends: list[tuple[int, str]] = []
+    digits, end, doubtful = "", at + 1, False
+    while m := _GROUP.match(text, end):
+        group = m.group("plain") or m.group("inner")
+        start = m.start("plain") if m.group("plain") else m.start("inner")
+        if digits:
+            card = _GROUPED.match(text, start)
+            other = (m.group("gap") != "." and _QUAD.match(text, start)) or _SSN.match(text, start)
+            if (card and not _complete(digits + group) and not _luhn("".join(c for c in card.group() if c.isdigit()))) or (other and len(digits) > 3):
+                break
+            doubtful = doubtful or bool(other)
+        elif m.group("gap"):
+            break
+        digits += "" if m.group("inner") == "0" else group
+        if len(digits) > _LONGEST:
+            break
+        end = m.end()
+        if not _LETTER.match(text, end):
+            ends.append((end, digits))
+    if (code := _CODE.match(digits)) is None:
+        return None
+    low, high = PLANS.get(code.group(), (_LONGEST, 0))
+    fits = [e for e in ends if low <= len(e[1]) - code.end() <= high]
+    if not fits and not doubtful:
+        fits = [e for e in ends if len(e[1]) >= 8]
+    if not fits:
+        return None
+    end, digits = fits[-1]
+    return Entity(at, end, "phone", _national(digits) if code.group() == "1" and len(digits) == 11 else f"+{digits}")
+
+
+def _numbers(text: str) -> Iterator[Entity]:
+    at, phones = 0, set()
+    while m := _NUMBERS.search(text, at):
+        kind, at = m.lastgroup if m.lastgroup != "gap" else "card", m.end()
+        if kind == "plus":
+            e = _international(text, m.start())
+        else:
+            digits = m.group() if kind == "ip" else "".join(c for c in m.group() if c.isdigit())
+            e = Entity(m.start(), m.end(), kind, _national(digits) if kind == "phone" else digits)
+        if e:
+            at = e.end
+            if e.kind == "phone":
+                phones.add(e.canon)
+            yield e
+    if phones:
+        for m in _RUN.finditer(text):
+            canon = f"+{m.group()}" if f"+{m.group()}" in phones else _national(m.group())
+            if canon in phones:
+                yield Entity(m.start(), m.end(), "phone", canon)
+
+
 def entities(text: str | None) -> list[Entity]:
     """Emails, IPv4 addresses, phone, card and social security numbers, and names, by position and without overlap.
 
     Names are words in capitals after a title, or a known given name and the next word in capitals; their words are
     entities of their own, so the surname alone is the same entity as in the full name. Once named, a surname counts
-    wherever it stands in the text.
+    wherever it stands in the text. So does a phone number, without separators too; alone it has to have the ten digits
+    of a North American one then.
     """
     if not text:
         return []
@@ -92,12 +176,7 @@ def entities(text: str | None) -> list[Entity]:
             found.append(Entity(left.start(), right.end(), "email", text[left.start() : right.end()].lower()))
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
-        for m in _NUMBERS.finditer(text):
-            kind = m.lastgroup if m.lastgroup != "gap" else "card"
-            digits = m.group() if kind == "ip" else "".join(c for c in m.group() if c.isdigit())
-            if kind == "phone" and len(digits) < 8:
-                continue
-            found.append(Entity(m.start(), m.end(), kind, _national(digits) if kind == "phone" else digits))
+        found += _numbers(text)
     if _ANY_TITLE.search(text):
         found += _names(text)
     found.sort(key=lambda e: (e.start, -e.end))
@@ -181,7 +260,13 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         if _luhn(canon):
             return body
         return body[:-1] + str((10 - _luhn(body[:-1] + "0")) % 10)
-    if kind in ("phone", "ssn"):
+    if kind == "phone":
+        code = _CODE.match(canon, 1).group() if canon[0] == "+" and attempt < 8 else ""  # few digits are left of short ones
+        rest = canon.removeprefix("+")[len(code) :]
+        dialled = len(rest) == 10 and rest[0] > "1" and rest[3] > "1"
+        body = str(2 + draw.below(8)) + "".join(str(2 + draw.below(8) if dialled and i == 3 else draw.below(10)) for i in range(1, len(rest)))
+        return ("+" if canon[0] == "+" else "") + code + body
+    if kind == "ssn":
         return str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in canon[1:])
     if kind.startswith("given_"):
         _, gender, script = kind.split("_")
@@ -194,9 +279,10 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
 def rendered(kind: str, new: str, old: str) -> str:
     """``new`` in the form of the occurrence ``old``: its separators, country code and capitals."""
     if kind in ("phone", "card", "ssn"):
-        digits, out = list(new), []
-        for c in reversed(old):
-            out.append(digits.pop() if c.isdigit() and digits else c)
+        digits, out = list(new.removeprefix("+")), []
+        for i in range(len(old) - 1, -1, -1):
+            trunk = i > 0 and old[i - 1 : i + 2] == "(0)"
+            out.append(digits.pop() if old[i].isdigit() and not trunk and digits else old[i])
         return "".join(reversed(out))
     if kind == "ip":
         return new

@@ -264,6 +264,43 @@ def test_surrogates_keep_type_format_and_coreference():
     assert pii.replaced(None, key, {}) == (None, 0) and pii.replaced("clean text", key, {}) == ("clean text", 0)
 
 
+# Planted, not found: what stands in the text, and what it is.
+PHONES = {
+    "+1 (826) 555-4081": "8265554081", "+1 826.555.4081": "8265554081", "826-555-4081": "8265554081", "8265554081": "8265554081",
+    "18265554081": "8265554081", "(826)555-4081": "8265554081", "+44 20 7946 0958": "+442079460958", "+44 (0)20 7946 0958": "+442079460958",
+    "+33 6 12 34 56 78": "+33612345678", "+33612345678": "+33612345678",
+}
+OTHERS = {
+    "190.137.223.204": ("ip", "190.137.223.204"), "10.0.0.7": ("ip", "10.0.0.7"), "4111 1111 1111 1111": ("card", "4111111111111111"),
+    "4111-1111-1111-1111": ("card", "4111111111111111"), "9807915762804490": ("card", "9807915762804490"), "123-45-6789": ("ssn", "123456789"),
+}
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", ", ", "\n", " | ", "-", "/"])
+def test_neighbouring_numbers_are_entities_of_their_own(gap):
+    planted, key = {p: ("phone", c) for p, c in PHONES.items()} | OTHERS, b"k" * 32
+    alone = {p: pii.replaced(f"at {p} now", key, {})[0][3:-4] for p in planted}
+    for a, b in [(a, b) for a in planted for b in planted if a in PHONES or b in PHONES]:
+        if gap == "-" and b[0].isdigit() and planted[a][0] == "ssn":  # no such number is followed by more digits
+            continue
+        text = f"at {a}{gap}{b} now"
+        assert [(text[e.start : e.end], e.kind, e.canon) for e in pii.entities(text)] == [(a, *planted[a]), (b, *planted[b])]
+        assert pii.replaced(text, key, {}) == (f"at {alone[a]}{gap}{alone[b]} now", 2)
+    by_number = {}
+    for p, c in PHONES.items():
+        assert re.sub(r"\d", "9", p) == re.sub(r"\d", "9", alone[p]) and alone[p] != p
+        assert by_number.setdefault(c, pii.entities(alone[p])[0].canon) == pii.entities(alone[p])[0].canon
+
+
+def test_phones_end_where_their_plan_does():
+    for text, want in {
+        "+1 (826) 555-4081 2024": ["+1 (826) 555-4081"], "+44 20 7946 0958 2024": ["+44 20 7946 0958"], "+49 30 1234 4111 1111 1111 1111": ["+49 30 1234", "4111 1111 1111 1111"],
+        "+1 (826) 555-4081 190.137.223.300": ["+1 (826) 555-4081"], "+999 1234 5678 190.137.223.300": ["+999 1234 5678"], "+1 190.137.223.204": ["190.137.223.204"],
+        "0175557713": [], "+1 (017) 555-7713 or 0175557713": ["+1 (017) 555-7713", "0175557713"], "442079460958": [], "1700000000 5558264081.5 3.5558264081 id_5558264081 C++11": [],
+    }.items():
+        assert [text[e.start : e.end] for e in pii.entities(text)] == want, text
+
+
 def test_surrogates_stay_distinct_over_the_table(spark):
     rng = random.Random(11)
     names = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Peter", "Paul"]
