@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from seqmodel.functions.text import (
     is_positive_label, leading_number, record_symbols, symbols_from_blanks, symbols_from_commas,
 )
-from seqmodel.operators.sessions import session_gap_sequences
-from seqmodel.operators.sessions import session_sequences as collected
+from seqmodel.operators.sessions import session_digests, session_gap_sequences
 from seqmodel.plans import fixtures as fx
 from seqmodel.sources import conn_log
 from seqmodel.sources.conn_log import Layout
@@ -83,11 +82,10 @@ def ingest_wide_table(spark: SparkSession, d: str) -> DataFrame:
 
 def sessions_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Long sessions: one per event type."""
-    seqs = collected(
+    return session_digests(
         fx.table(spark, d, "events"), ["event_type"], ["ts", "event_id"],
         F.concat(F.lit("user="), F.pmod("user_id", F.lit(10)).cast("string")), F.max("event_id") % 2 == 0,
     )
-    return seqs.select("id", F.size("symbols").cast("long").alias("n"), F.md5(fx.text()).alias("symbols"), "label")
 
 
 def ingest_skip_comments(spark, d):
