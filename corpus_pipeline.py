@@ -20,13 +20,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return qda.accepted(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+_LINKED = parity_join.Similarity(size=5, num=80, den=100, slack=1)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shared five-word shingles (Jaccard 0.8) the smallest id stays."""
-    groups = parity_join.linked_groups(docs, parity_join.Similarity(size=5, num=80, den=100, slack=1))
+    """Of each group of documents linked by shared five-word shingles (Jaccard 0.8) the smallest id stays.
+
+    Rows are judged one by one where ids are null or occur twice: a row of a group stays whatever became of others of
+    its id, null ids come last, and of rows of equal id and text one stays.
+    """
+    docs = docs.select(COLUMNS)
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return _near_duplicate_rows(docs)
+    groups = parity_join.linked_groups(docs, _LINKED)
     copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(written(copies, "copies", lookup=True), "doc_id", "left_anti").select(COLUMNS)
 
 
+def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    rows = written(named.withColumn("__row", F.monotonically_increasing_id()), "document-rows")
+    groups = parity_join.linked_groups(rows.select("__row", "text"), _LINKED, id_col="__row").select("__row", "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
+    first = groups.join(rows.select("__row", place.alias("place")), "__row").groupBy("component_id").agg(F.min("place").alias("place"))
+    kept = written(first.select(F.col("place.__row").alias("__row")), "kept", lookup=True)
+    return rows.join(kept, "__row", "left_semi").select(COLUMNS)
+
+
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)

@@ -407,6 +407,16 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(after)
 
 
+def test_copies_go_row_by_row(spark):
+    """Repeated rows, null ids and one id with two texts: one row of each group stays, and nothing else goes."""
+    rng = random.Random(17)
+    a, b, c, d, e = (cases.words(rng, 60) for _ in range(5))
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, b), (4, a), (4, c), (None, d), (None, d), (None, d), (None, a), (None, e), (5, "x y"), (5, "x y"), (6, "x y"), (7, None), (None, None), (None, "x y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept == Counter([(1, a), (3, b), (4, c), (None, d), (None, e), (5, "x y"), (7, None), (None, None)])
+
+
 @pytest.mark.parametrize(("block", "rounds"), [(3, 0), (8, 1)])
 def test_linked_groups_in_small_blocks(spark, monkeypatch, block, rounds):
     """The comparison of sketches alone, over many blocks, finds all links."""
