@@ -45,7 +45,6 @@ _TITLED = re.compile(
 )
 _KNOWN = re.compile(rf"\b(?P<names>(?:{'|'.join(n for names in GIVEN.values() for n in names)})[ \t]+{_NAME})\b")
 _ANY_TITLE = re.compile("|".join(sorted({*(t for ts in TITLES.values() for t in ts), *(n for ns in GIVEN.values() for n in ns)}, key=len, reverse=True)))
-_EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+\-]+\Z")
 _EMAIL_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _DIGIT = re.compile("[0-9]")
 _GROUPED = re.compile(r"[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![0-9])")
@@ -90,6 +89,11 @@ def script_of(word: str) -> str:
     return next((s for s in ("cyrillic", "greek") if name.startswith(s.upper())), "latin")
 
 
+def _of_local_part(c: str) -> bool:
+    """Letters and digits of any script, with the accents that follow them, and the usual marks; never '@'."""
+    return c.isalnum() or c in "._%+-" or unicodedata.category(c)[0] == "M"
+
+
 def _national(digits: str) -> str:
     return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
 
@@ -171,9 +175,11 @@ def entities(text: str | None) -> list[Entity]:
     found: list[Entity] = []
     at = text.find("@")
     while at >= 0:
-        left, right = _EMAIL_LEFT.search(text, max(0, at - 64), at), _EMAIL_RIGHT.match(text, at + 1)
-        if left and right:
-            found.append(Entity(left.start(), right.end(), "email", text[left.start() : right.end()].lower()))
+        start, right = at, _EMAIL_RIGHT.match(text, at + 1)
+        while right and start and _of_local_part(text[start - 1]):
+            start -= 1
+        if start < at:
+            found.append(Entity(start, right.end(), "email", text[start : right.end()].lower()))
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
         found += _numbers(text)

@@ -292,6 +292,14 @@ def test_neighbouring_numbers_are_entities_of_their_own(gap):
         assert by_number.setdefault(c, pii.entities(alone[p])[0].canon) == pii.entities(alone[p])[0].canon
 
 
+@pytest.mark.parametrize("local", ["josé", "jose\u0301.maría", "иван.п", "a" * 65, "x." * 5000 + "y", "étienne+news", "José_1"])
+def test_the_whole_local_part_goes(local):
+    text = f"to <{local}@mail.example.com>, then"
+    assert [(e.start, e.end, e.kind) for e in pii.entities(text)] == [(4, len(text) - 7, "email")]
+    new, n = pii.replaced(text, b"k" * 32, {})
+    assert n == 1 and local not in new and new.startswith("to <") and new.endswith(".example>, then")
+
+
 def test_phones_end_where_their_plan_does():
     for text, want in {
         "+1 (826) 555-4081 2024": ["+1 (826) 555-4081"], "+44 20 7946 0958 2024": ["+44 20 7946 0958"], "+49 30 1234 4111 1111 1111 1111": ["+49 30 1234", "4111 1111 1111 1111"],
