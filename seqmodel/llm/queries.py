@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmodel.llm import decontaminate, mixing, parity_join, pii, qda, revisits, secret_scan, token_count, url_filter, weak_rules
+from seqmodel.llm import (
+    decontaminate, mixing, pack, parity_join, pii, qda, resample, revisits, secret_scan, spelling, token_count, url_filter, weak_rules,
+)
 from seqmodel.llm.url_filter import Rule
 
 
@@ -76,6 +78,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.linked_groups(_table(spark, sf_dir, "documents"), how)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_table(spark, sf_dir, "documents"), spelling.Variants(dropped=97))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -87,6 +102,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_packing": op12_packing,
+    "op13_target_resampling": op13_target_resampling,
 }
 
 ORACLES: dict[str, str] = {
