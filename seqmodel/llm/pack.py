@@ -9,14 +9,12 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from seqmodel.llm.ragged import slices
-from seqmodel.llm.token_count import _NOT_PLAIN, _PLAIN, PRETOKEN
+from seqmodel.llm.token_count import _NOT_PLAIN, _PLAIN, BytePairs
 from seqmodel.sources.scratch import written
 
 #: Ids of so many different pre-tokens are remembered between batches of a task, then forgotten.
@@ -39,36 +37,42 @@ class Packing:
     rounds: int = 400
 
 
-class TokenIds:
-    """Ids of whole texts by the library, which is asked once per different pre-token: merges never cross them."""
+class TokenIds(BytePairs):
+    """Ids of whole texts as the library gives them, by merging each different pre-token once."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        super().__init__(path)
         spec = json.loads(open(path, encoding="utf-8").read())
-        names = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.pattern = regex.compile(PRETOKEN)
-        self.fixed = {n: np.uint32(self.library.token_to_id(n)).tobytes() for n in names}
-        self.known: dict[str, bytes] = dict(self.fixed)
+        self.fixed = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", [])}
+        self.ids: dict[str, bytes] = dict(self.fixed)
+
+    def _merged(self, tokens: list[str]) -> list[bytes]:
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes = self.merged_lengths([t.encode() for t in tokens], ends)
+        owner, symbols = (np.concatenate(x) for x in zip(*ends, strict=True))
+        flat = symbols[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        at = np.concatenate(([0], np.cumsum(sizes))) * _WIDTH
+        return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text. A special string inside a text is its own id."""
         parts = []
         for text in texts:
             text = text or ""
             find = (self.pattern if _NOT_PLAIN.search(text) else _PLAIN).findall
-            found: list[str] = []
-            for i, piece in enumerate(self.special.split(text) if self.special else [text]):
-                found += [piece] if i % 2 else find(piece)
-            parts.append(found)
-        new = list({t for found in parts for t in found}.difference(self.known))
+            at, found = 0, []
+            for special in self.special.finditer(text) if self.special else ():
+                found += find(text[at : special.start()])
+                found.append(special.group())
+                at = special.end()
+            parts.append(found + find(text[at:]) if at else find(text))
+        new = list({t for found in parts for t in found}.difference(self.ids))
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = dict(self.fixed)
-                new = list({t for found in parts for t in found}.difference(self.known))
-            for text, made in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[text] = np.array(made.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+            if len(self.ids) + len(new) > REMEMBERED:
+                self.ids = dict(self.fixed)
+                new = list({t for found in parts for t in found}.difference(self.ids))
+            self.ids.update(zip(new, self._merged(new), strict=True))
+        get = self.ids.__getitem__
         return [b"".join(map(get, found)) for found in parts]
 
 

@@ -27,6 +27,8 @@ KEPT = 400_000
 LONGEST_SHARD = 64
 #: A block is one cache line of eight 64-bit words; a key sets this many bits in it.
 BLOCK_WORDS, KEY_BITS = 8, 6
+#: Words whose edits one task probes: about a second of work.
+WORDS_PER_TASK = 25_000
 #: Edits probed at once, and letters of words hashed at once.
 PROBED, HASHED = 1 << 21, 1 << 22
 
@@ -246,7 +248,7 @@ def near_words(vocabulary: DataFrame, how: Variants) -> DataFrame:
                     [column.take(pa.array(whose, pa.int64())), pa.array([e.decode("latin-1") for e in edits], pa.string())], ["a", "b"]
                 )
 
-        dealt = vocabulary.select("word").repartition("word")
+        dealt = vocabulary.select("word").repartition(-(-sum(sizes.values()) // WORDS_PER_TASK), "word")
         likely = dealt.mapInArrow(run, "a string, b string")
         real = written(likely.join(vocabulary.select(F.col("word").alias("b")), "b", "left_semi").select("a", "b"), "near-words")
         pairs = real if pairs is None else pairs.unionByName(real)

@@ -55,8 +55,8 @@ class BytePairs:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
-    def merged_lengths(self, tokens: list[bytes]) -> np.ndarray:
-        """How many symbols survive in each byte string.
+    def merged_lengths(self, tokens: list[bytes], ends: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """How many symbols survive in each byte string; ``ends`` gathers (string, symbol) arrays of the surviving ones.
 
         In every round each string's lowest-rank pair is merged wherever it stands, in all strings at once.
         A merge can only make pairs of higher rank, so this ends where merging one pair at a time would.
@@ -76,6 +76,8 @@ class BytePairs:
             low = np.repeat(low, size)
             if not (low < _NONE).all():  # strings without a mergeable pair leave
                 live = low < _NONE
+                if ends is not None:
+                    ends.append((owner[~live], ids[~live]))
                 ids, owner, rank, low = ids[live], owner[live], rank[live], low[live]
                 if not len(ids):
                     break
