@@ -34,7 +34,7 @@ class Packing:
     size: int = 2048
     end_id: int = 1
     partners: int = 4
-    rounds: int = 400
+    rounds: int = 200
 
 
 class TokenIds(BytePairs):
@@ -43,19 +43,20 @@ class TokenIds(BytePairs):
     def __init__(self, path: str):
         super().__init__(path)
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.fixed = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", [])}
+        self.kind = np.dtype("<u2" if self.width <= 1 << 16 else "<u4")
+        self.fixed = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in spec.get("added_tokens", [])}
         self.ids: dict[str, bytes] = dict(self.fixed)
 
     def _merged(self, tokens: list[str]) -> list[bytes]:
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         sizes = self.merged_lengths([t.encode() for t in tokens], ends)
         owner, symbols = (np.concatenate(x) for x in zip(*ends, strict=True))
-        flat = symbols[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
-        at = np.concatenate(([0], np.cumsum(sizes))) * _WIDTH
+        flat = symbols[np.argsort(owner, kind="stable")].astype(self.kind).tobytes()
+        at = np.concatenate(([0], np.cumsum(sizes))) * self.kind.itemsize
         return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. A special string inside a text is its own id."""
+        """Little-endian ids of each text, in 16 bits where the vocabulary allows. A special string inside a text is its own id."""
         parts = []
         for text in texts:
             text = text or ""
@@ -88,27 +89,29 @@ def _token_ids(path: str) -> TokenIds:
 def pieces(df: DataFrame, path: str, how: Packing, id_col: str, text_col: str) -> DataFrame:
     """``(id, start, length, doc_tokens, part, nth, ids)``: full windows of each document and what is left of it.
 
-    ``nth`` counts the pieces of one length within one task's part, so that ranks need no sort.
+    ``nth`` counts the pieces of one length within one task's part, so that ranks need no sort. ``ids`` take 16 bits each
+    where the vocabulary allows.
     """
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", "start", "length", "doc_tokens", "part", "nth", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [0] * (how.size + 1)
-        part, whole = TaskContext.get().partitionId(), how.size * _WIDTH
-        end = np.uint32(how.end_id).tobytes()
+        part, known = TaskContext.get().partitionId(), _token_ids(path)
+        width = known.kind.itemsize
+        end = np.array([how.end_id], known.kind).tobytes()
         for batch in batches:
             for rows in slices(batch, text_col):
                 whose, starts, lengths, totals, nth, found = [], [], [], [], [], []
-                for i, ids in enumerate(_token_ids(path).of(rows.column(text_col).to_pylist())):
+                for i, ids in enumerate(known.of(rows.column(text_col).to_pylist())):
                     ids += end
-                    for at in range(0, len(ids), whole):
-                        piece = ids[at : at + whole]
-                        n = len(piece) // _WIDTH
+                    for at in range(0, len(ids), how.size * width):
+                        piece = ids[at : at + how.size * width]
+                        n = len(piece) // width
                         whose.append(i)
-                        starts.append(at // _WIDTH)
+                        starts.append(at // width)
                         lengths.append(n)
-                        totals.append(len(ids) // _WIDTH)
+                        totals.append(len(ids) // width)
                         nth.append(seen[n])
                         found.append(piece)
                         seen[n] += 1
@@ -268,6 +271,14 @@ class Plan:
         return out
 
 
+def _widened(column: pa.Array, length: np.ndarray) -> pa.Array:
+    """The ids of each piece in 32 bits."""
+    data = b"".join(column.to_pylist())
+    kind = np.dtype("<u4" if len(data) == length.sum() * _WIDTH else "<u2")
+    flat, at = np.frombuffer(data, kind).astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(length))) * _WIDTH
+    return pa.array([flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+
 def ranked(rows: DataFrame) -> DataFrame:
     """``rows`` of ``pieces`` with ``rank`` among all pieces of their length; one row per (length, part) is counted."""
     sizes = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
@@ -304,11 +315,14 @@ def packed(df: DataFrame, path: str, how: Packing = Packing(), id_col: str = "do
             if len(at):
                 whole = batch.take(pa.array(at))
                 where = plan.placed_at(length[at], rank[at])
-                yield pa.RecordBatch.from_arrays([*[whole.column(c) for c in ("id", "start", "length", "ids", "doc_tokens")], *map(pa.array, where)], names)
+                ids = _widened(whole.column("ids"), length[at])
+                yield pa.RecordBatch.from_arrays(
+                    [*[whole.column(c) for c in ("id", "start", "length")], ids, whole.column("doc_tokens"), *map(pa.array, where)], names
+                )
             at = np.flatnonzero(~fits)
             if len(at):
                 rest = batch.take(pa.array(at))
-                starts, ids = rest.column("start").to_pylist(), rest.column("ids").to_pylist()
+                starts, ids = rest.column("start").to_pylist(), _widened(rest.column("ids"), length[at]).to_pylist()
                 parts = [(i, *part) for i in range(len(at)) for part in plan.cut(int(length[at[i]]), int(rank[at[i]]))]
                 take = pa.array([p[0] for p in parts], pa.int64())
                 numbers = [pa.array(c, pa.int64()) for c in zip(*[(starts[i] + s, n, q, o) for i, s, n, q, o in parts], strict=True)]
