@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqmodel.operators import profile
 from seqmodel.operators.ordered import numbered
 from seqmodel.operators.prefix_tree import (
-    RESIDUAL, majority, prefix_edges, prefix_nodes, terminal_votes,
+    KEY, RESIDUAL, majority, prefix_edges, prefix_nodes, ranked_votes, sequence_key, terminal_votes, with_prefix,
 )
 from seqmodel.sources.scratch import written
 
@@ -31,23 +31,26 @@ ALPHABET_BLOCK = 1000
 def merged_states(nodes: DataFrame) -> DataFrame:
     """One row per residual digest: summed counts, re-voted verdict, smallest prefix, flags.
 
-    The sink exists as soon as there is an edge, since a finite tree has a leaf.
+    The smallest prefix of a state (shortest, then first in order) is named by its key and the rank of a sequence
+    through it. The sink exists as soon as there is an edge, since a finite tree has a leaf.
     """
     sink = nodes.agg(F.max("depth").alias("d")).filter(F.col("d") > 0)
+    nothing = F.lit(None).cast("long")
     sink = sink.select(
-        F.lit(None).cast("array<string>").alias("prefix"), F.lit(None).cast("int").alias("depth"),
+        F.lit(None).cast("int").alias("depth"), *[nothing.alias(c) for c in ("first", "ka", "kb")],
         F.lit(0).cast("long").alias("pos"), F.lit(SINK_NEG).cast("long").alias("neg"),
         *[F.lit(0).cast("long").alias(c) for c in RESIDUAL], F.lit(True).alias("sink"),
     )
-    known = nodes.withColumn("sink", F.lit(False)).unionByName(sink)
-    rep = F.when(F.col("depth").isNotNull(), F.struct("depth", "prefix"))
+    known = nodes.drop("symbol", "pa", "pb").withColumn("sink", F.lit(False)).unionByName(sink)
+    rep = F.when(F.col("depth").isNotNull(), F.struct("depth", "first", "ka", "kb"))
     states = known.groupBy(*RESIDUAL).agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.min(rep).alias("rep"),
         F.max("sink").alias("is_sink"),
     )
     return states.select(
         *RESIDUAL, "pos", "neg", (F.col("pos") > F.col("neg")).alias("accepting"),
-        F.col("rep.prefix").alias("rep_prefix"),
+        F.col("rep.depth").alias("rep_depth"), F.col("rep.first").alias("rep_first"),
+        F.col("rep.ka").alias("rep_ka"), F.col("rep.kb").alias("rep_kb"),
         F.coalesce(F.col("rep.depth") == 0, F.lit(False)).alias("is_start"), "is_sink",
     )
 
@@ -55,27 +58,23 @@ def merged_states(nodes: DataFrame) -> DataFrame:
 def numbered_states(states: DataFrame, limit: int | None = None,
                     largest: int | None = None) -> DataFrame:
     """``state_id`` from 0 by (length, value) of the smallest prefix; a sink without one is last."""
-    length = F.when(F.col("rep_prefix").isNull(), 2**31 - 1).otherwise(F.size("rep_prefix"))
-    order = ["__len", "rep_prefix"]
+    length = F.coalesce("rep_depth", F.lit(2**31 - 1))
+    order = ["__len", "rep_first"]
     ranked = numbered(states.withColumn("__len", length), order, "state_id", limit, largest)
     return ranked.drop("__len")
 
 
 def prefix_states(nodes: DataFrame, states: DataFrame) -> DataFrame:
-    """(prefix, state_id) of every tree node."""
-    return nodes.join(states.select(*RESIDUAL, "state_id"), RESIDUAL).select("prefix", "state_id")
+    """(key, state_id) of every tree node."""
+    return nodes.join(states.select(*RESIDUAL, "state_id"), RESIDUAL).select(*KEY, "state_id")
 
 
-def merged_transitions(prefix_state: DataFrame) -> DataFrame:
-    """(state_id, symbol, next_state_id) of the tree edges, mapped to states.
-
-    An edge is a node seen from its parent, so only the parent's state has to be looked up.
-    """
-    edges = prefix_edges(
-        prefix_state.withColumn("depth", F.size("prefix")), F.col("state_id").alias("next_state_id")
-    )
-    source = prefix_state.select(F.col("prefix").alias("parent"), "state_id")
-    return edges.join(source, "parent").select("state_id", "symbol", "next_state_id").distinct()
+def merged_transitions(nodes: DataFrame, prefix_state: DataFrame) -> DataFrame:
+    """(state_id, symbol, next_state_id) of the tree edges, mapped to states."""
+    edges = prefix_edges(nodes).join(prefix_state.withColumnRenamed("state_id", "next_state_id"), KEY)
+    source = prefix_state.toDF("parent_depth", "parent_a", "parent_b", "state_id")
+    mapped = edges.join(source, ["parent_depth", "parent_a", "parent_b"])
+    return mapped.select("state_id", "symbol", "next_state_id").distinct()
 
 
 class Model:
@@ -90,12 +89,17 @@ class Model:
 
     @cached_property
     def accepted(self) -> DataFrame:
-        """(symbols) of the accepted sequences; enough to classify."""
-        return majority(self.votes).filter("accepting").select("symbols")
+        """Keys of the accepted sequences; enough to classify."""
+        keys = majority(self.votes).filter("accepting").select(*[c.alias(n) for n, c in sequence_key().items()])
+        return written(keys, "accepted", lookup=True)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return ranked_votes(self.votes)
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return written(prefix_nodes(self.votes), "nodes")
+        return written(prefix_nodes(self.ranked), "nodes")
 
     @cached_property
     def states(self) -> DataFrame:
@@ -109,7 +113,15 @@ class Model:
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return merged_transitions(self.prefix_state)
+        return merged_transitions(self.nodes, self.prefix_state)
+
+    def named_prefixes(self) -> DataFrame:
+        """(prefix, state_id) of every tree node, spelled out."""
+        return with_prefix(self.nodes.join(self.states.select(*RESIDUAL, "state_id"), RESIDUAL), self.ranked).select("prefix", "state_id")
+
+    def named_states(self) -> DataFrame:
+        """The states with their smallest prefix spelled out as ``rep_prefix``; null for a sink without one."""
+        return with_prefix(self.states, self.ranked, "rep_depth", "rep_first", "rep_prefix")
 
     @cached_property
     def alphabet(self) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmodel.operators.automaton import Model
-from seqmodel.operators.score import classify
+from seqmodel.operators.prefix_tree import KEY, sequence_key
+from seqmodel.operators.score import with_verdict
 
 COUNTS = ("tp", "tn", "fp", "fn")
 LOCAL_TEST = "combined_inputs"
@@ -18,7 +19,7 @@ LOCAL_TEST = "combined_inputs"
 
 def confusion(seqs: DataFrame, model: Model, by: list[str] | None = None) -> DataFrame:
     by = by or []
-    counted = seqs.groupBy(*by, "symbols").agg(
+    counted = seqs.withColumns(sequence_key()).groupBy(*by, *KEY).agg(
         F.count_if(F.col("label")).alias("pos"), F.count_if(~F.col("label")).alias("neg")
     )
     hit = F.col("predicted")
@@ -27,7 +28,7 @@ def confusion(seqs: DataFrame, model: Model, by: list[str] | None = None) -> Dat
         "fp": F.when(hit, F.col("neg")), "fn": F.when(~hit, F.col("pos")),
     }
     total = lambda cell: F.coalesce(F.sum(cell), F.lit(0)).cast("long")
-    return classify(counted, model).groupBy(*by).agg(
+    return with_verdict(counted, model, "predicted").groupBy(*by).agg(
         *[total(cells[name]).alias(name) for name in COUNTS]
     )
 

@@ -74,6 +74,20 @@ class Ordered:
         total = df["__within"] + F.coalesce(carry[_CARRY], F.lit(0))
         return replace(self, df=self._join_carry(df, carry, [total.alias(out)]))
 
+    def running_xor(self, value: Column, out: str) -> "Ordered":
+        within = F.bit_xor(value).over(self._window(True))
+        if not self.cut:
+            return replace(self, df=self.df.withColumn(out, within))
+        totals = (
+            self.df.filter(F.col(SEGMENT) >= 0)
+            .groupBy(*self.keys, SEGMENT)
+            .agg(F.bit_xor(value).alias("__total"))
+        )
+        carry = self._carried(totals, lambda w: F.bit_xor("__total").over(w))
+        df = self.df.withColumn("__within", within)
+        total = df["__within"].bitwiseXOR(F.coalesce(carry[_CARRY], F.lit(0).cast("long")))
+        return replace(self, df=self._join_carry(df, carry, [total.alias(out)]))
+
     def running_last(self, value: Column, out: str, inclusive: bool = True) -> "Ordered":
         """Latest non-null value so far (``inclusive=False``: before the current row)."""
         within = F.last(value, ignorenulls=True).over(self._window(inclusive))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqmodel.operators import evaluate, profile, score
 from seqmodel.operators.automaton import Model, state_name
-from seqmodel.operators.prefix_tree import majority, prefix_edges, prefix_nodes, terminal_votes
+from seqmodel.operators.prefix_tree import majority, prefix_nodes, ranked_votes, terminal_votes, with_prefix
 from seqmodel.operators.split import SEED, TRAIN_RATIO, train_full, train_test_split
 from seqmodel.plans import fixtures as fx
 from seqmodel.plans import run
@@ -74,24 +74,27 @@ def votes_query(spark, d):
     return terminal_votes(fx.sessions(spark, d)).select(fx.text().alias("symbols"), "pos", "neg")
 
 
+def _nodes(seqs: DataFrame) -> DataFrame:
+    """Nodes of the tree of ``seqs`` with their prefixes spelled out."""
+    ranked = ranked_votes(written(terminal_votes(seqs), "votes"))
+    return with_prefix(prefix_nodes(ranked), ranked)
+
+
 def nodes_query(spark, d):
-    return prefix_nodes(terminal_votes(fx.sessions(spark, d))).select(
-        fx.text("prefix").alias("prefix"), "depth", "pos", "neg"
-    )
+    return _nodes(fx.sessions(spark, d)).select(fx.text("prefix").alias("prefix"), "depth", "pos", "neg")
 
 
 def edges_query(spark, d):
-    return prefix_edges(prefix_nodes(terminal_votes(fx.sessions(spark, d)))).select(
-        fx.text("parent").alias("parent"), "symbol", fx.text("child").alias("child")
+    parent = F.slice("prefix", F.lit(1), F.col("depth") - 1)
+    return _nodes(fx.sessions(spark, d)).filter(F.col("depth") > 0).select(
+        fx.text(parent).alias("parent"), "symbol", fx.text("prefix").alias("child")
     )
 
 
 def root_query(spark, d):
     """Empty sequences vote at the root."""
     seqs = fx.wide(spark, d, fx.SPARSE_WIDE_EXPR, keep_empty=True)
-    return prefix_nodes(terminal_votes(seqs)).filter(F.col("depth") <= 1).select(
-        fx.text("prefix").alias("prefix"), "pos", "neg"
-    )
+    return _nodes(seqs).filter(F.col("depth") <= 1).select(fx.text("prefix").alias("prefix"), "pos", "neg")
 
 
 # Automaton
@@ -104,7 +107,7 @@ def majority_vote(spark, d):
 
 
 def merge_states(spark, d):
-    return _session_model(spark, d).prefix_state.select(
+    return _session_model(spark, d).named_prefixes().select(
         fx.text("prefix").alias("prefix"), state_name(F.col("state_id")).alias("state")
     )
 
@@ -116,7 +119,7 @@ def merged_states(spark, d):
 
 
 def state_numbering(spark, d):
-    return _session_model(spark, d).states.select(
+    return _session_model(spark, d).named_states().select(
         "state_id", fx.text("rep_prefix").alias("rep_prefix")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from seqmodel.operators.automaton import Model
 
-TABLES = ("votes", "nodes", "states")
+TABLES = ("votes", "ranked", "nodes", "states")
 
 
 def save_model(model: Model, path: str) -> None:

@@ -115,7 +115,7 @@ def test_merged_counts_include_the_sink(spark):
     seqs = spark.createDataFrame(
         [(["a"], True), (["a"], True), (["a"], False), (["b"], False)], "symbols array<string>, label boolean"
     )
-    rows = Model.fit(seqs).states.orderBy("state_id").collect()
+    rows = Model.fit(seqs).named_states().orderBy("state_id").collect()
     assert [(r.rep_prefix, r.pos, r.neg, r.accepting, r.is_sink) for r in rows] == [
         ([], 0, 0, False, False), (["a"], 2, 1, True, False), (["b"], 0, 2, False, True),
     ]

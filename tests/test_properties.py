@@ -98,7 +98,7 @@ def test_merging_and_scoring(spark):
         model = Model.fit(spark.createDataFrame(rows, "symbols array<string>, label boolean"))
         kind, count, nodes, votes = naive_automaton(samples)
         assert model.states.count() == count
-        ours = {tuple(r.prefix): r.state_id for r in model.prefix_state.collect()}
+        ours = {tuple(r.prefix): r.state_id for r in model.named_prefixes().collect()}
         assert set(ours) == nodes
         pairs = {(kind[n], ours[n]) for n in nodes}
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
