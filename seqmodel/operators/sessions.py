@@ -6,16 +6,13 @@ need no row per session (digests, stack checks, positions) work on the event row
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmodel.operators.ordered import Ordered, ordered, same_keys
+from seqmodel.operators.ordered import Ordered, ordered
 
-CHUNK_EVENTS = 512
+# Fixed value: hexadecimal digits of an md5 that fit a positive 64-bit number.
+DIGEST_DIGITS = 15
 
 
 def positions(events: DataFrame, keys: list[str], order: list[str], out: str = "pos",
@@ -42,43 +39,26 @@ def session_sequences(events: DataFrame, keys: list[str], order: list[str], symb
     return _collected(events, keys, order, symbol, label)
 
 
+def place_digest(place: Column, symbol: Column) -> Column:
+    """A number for a symbol at a place; a null symbol differs from any text."""
+    marked = F.coalesce(F.concat(F.lit("="), symbol), F.lit(""))
+    text = F.md5(F.concat(place.cast("string"), F.lit(":"), marked))
+    return F.conv(F.substring(text, 1, DIGEST_DIGITS), 16, 10).cast("long")
+
+
 def session_digests(events: DataFrame, keys: list[str], order: list[str], symbol: Column, label: Column,
-                    limit: int | None = None, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
-    """(id, n, symbols, label) per key, ``symbols`` as the md5 of the symbols joined by '|', for sessions of any length.
+                    limit: int | None = None) -> DataFrame:
+    """(id, n, digest, label) per key for sessions of any length: the XOR of a number per (place, symbol).
 
-    Sorting and joining is cut into chunks. An md5 goes on from its state alone, so the chunks of one key are hashed
-    one after the other, as a stream; no row holds more than one chunk.
+    Places are running values, also over sessions that are cut into segments, and the digest of a session is that of
+    its parts put together: it aggregates partially, so no task and no row holds a session. Events of equal order are
+    placed by symbol.
     """
     rows = positions(events.withColumn("__symbol", symbol), keys, [*order, "__symbol"], "__pos", limit)
-    items = F.array_sort(F.collect_list(F.struct("__pos", "__symbol")))
-    texts = F.when(F.count("__symbol") > 0, F.array_join(F.transform(items, lambda x: x["__symbol"]), "|"))
-    chunk = F.floor(F.col("__pos") / chunk_events).alias("__chunk")
-    chunks = rows.groupBy(*keys, chunk).agg(texts.alias("__text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hashed = None
-        joined = False
-        for batch in batches:
-            numbers, parts = batch.column("__chunk").to_pylist(), batch.column("__text")
-            for i, number in enumerate(numbers):
-                if number == 0:
-                    if key:
-                        yield pa.RecordBatch.from_arrays([*key, pa.array([hashed.hexdigest()])], [*keys, "symbols"])
-                    key, hashed, joined = [batch.column(k).slice(i, 1) for k in keys], hashlib.md5(), False
-                text = parts[i].as_py()
-                if text is not None:
-                    hashed.update((f"|{text}" if joined else text).encode())
-                    joined = True
-        if key:
-            yield pa.RecordBatch.from_arrays([*key, pa.array([hashed.hexdigest()])], [*keys, "symbols"])
-
-    dealt = chunks.repartition(*keys).sortWithinPartitions(*keys, "__chunk")
-    kinds = ", ".join(f"`{k}` {chunks.schema[k].dataType.simpleString()}" for k in keys)
-    digests = dealt.mapInArrow(run, f"{kinds}, symbols string")
-    totals = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), label.alias("label"))
-    return totals.join(digests, same_keys(totals, digests, keys)).select(
-        F.concat_ws("|", *[totals[k].cast("string") for k in keys]).alias("id"), "n", "symbols", "label",
-    )
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(place_digest(F.col("__pos"), F.col("__symbol"))).alias("digest"),
+        label.alias("label"),
+    ).select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("id"), "n", "digest", "label")
 
 
 def gap_sessions(events: DataFrame, keys: list[str], time: str, tiebreak: str, gap_seconds: int,

@@ -254,3 +254,41 @@ LABELLED_SQL = """docs as (
          ['source=' || source,
           'size=' || case when n_chars < 500 then 'short' when n_chars < 2000 then 'medium' else 'long' end] as symbols
   from documents join labels using (doc_id))"""
+
+
+# A given automaton over whole histories: views and clicks go round in circles, some pairs have no transition.
+
+GIVEN_START = "Idle"
+GIVEN_STATES = [("Idle", False), ("Looking", False), ("Busy", True), ("Done", True)]
+GIVEN_MOVES = [
+    ("Idle", "event=view", "Looking"), ("Idle", "event=click", "Busy"), ("Looking", "event=view", "Looking"),
+    ("Looking", "event=click", "Busy"), ("Looking", "event=purchase", "Done"), ("Busy", "event=view", "Looking"),
+    ("Busy", "event=click", "Busy"), ("Busy", "event=purchase", "Done"), ("Done", "event=view", "Idle"),
+]
+
+
+def given_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return (
+        spark.createDataFrame(GIVEN_STATES, "state string, accepting boolean"),
+        spark.createDataFrame(GIVEN_MOVES, "state string, symbol string, next_state string"),
+    )
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{c}'" if isinstance(c, str) else str(c).lower() for c in r) + ")" for r in rows)
+
+
+#: Histories are walked symbol by symbol, one step a round; the state stays where ``on_missing`` says so.
+GIVEN_SQL = f"""given_states(state, accepting) as (values {_values(GIVEN_STATES)}),
+given_moves(state, symbol, next_state) as (values {_values(GIVEN_MOVES)}),
+histories as (
+  select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos,
+         'event=' || event_type as symbol from events),
+lengths as (select user_id, count(*) as n from histories group by user_id),
+walk as (
+  select user_id, 0::bigint as i, null::varchar as before, null::varchar as symbol, '{GIVEN_START}' as state, false as lost from lengths
+  union all
+  select w.user_id, w.i + 1, w.state, h.symbol, coalesce(m.next_state, w.state), m.next_state is null
+  from walk w join histories h on h.user_id = w.user_id and h.pos = w.i
+  left join given_moves m on m.state = w.state and m.symbol = h.symbol
+  where {{on}})"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmodel.operators import evaluate, profile, score
+from seqmodel.operators import evaluate, given, profile, score
 from seqmodel.operators.automaton import Model, state_name
 from seqmodel.operators.prefix_tree import majority, prefix_nodes, ranked_votes, terminal_votes, with_prefix
 from seqmodel.operators.split import SEED, TRAIN_RATIO, train_full, train_test_split
@@ -194,6 +194,22 @@ def rule_usage(spark, d):
     return score.rule_usage(terminal_votes(test), Model.fit(train))
 
 
+def _histories(spark, d):
+    """Whole histories of the users, and the arguments of a walk through the given automaton."""
+    events = fx.table(spark, d, "events").select("user_id", "ts", "event_id", F.concat(F.lit("event="), "event_type").alias("name"))
+    return events, ["user_id"], ["ts", "event_id"], F.col("name"), given.Given.of(*fx.given_tables(spark), fx.GIVEN_START)
+
+
+def walk_given_model(spark, d):
+    """Both ways of a symbol without a transition: where the walk ends, and why it fails."""
+    stay = given.walk(*_histories(spark, d), given.STAY).select("user_id", "final_state", "verdict")
+    return stay.join(given.walk(*_histories(spark, d), given.FAIL).select("user_id", "accepted", "reason"), "user_id")
+
+
+def walk_given_trace(spark, d):
+    return given.walk_trace(*_histories(spark, d))
+
+
 # Evaluation
 
 
@@ -253,6 +269,8 @@ QUERIES = {
     "classify_from_state": classify_from_state,
     "state_trace": state_trace,
     "rule_usage": rule_usage,
+    "walk_given_model": walk_given_model,
+    "walk_given_trace": walk_given_trace,
     "confusion": confusion,
     "metrics": metrics,
     "metrics_empty": metrics_empty,
@@ -453,6 +471,19 @@ walk as (
 select 's' || from_id as current_state, symbols[i] as symbol, 's' || state_id as next_state,
        count(*) as uses, count(*) filter (label) as positive_uses
 from walk where i > 0 group by all""",
+    "walk_given_model": f"""with recursive {fx.GIVEN_SQL.format(on="true")},
+{fx.GIVEN_SQL[fx.GIVEN_SQL.index("walk as"):].replace("walk", "strict").format(on="not w.lost")},
+ends as (select user_id, state from walk join lengths using (user_id) where i = n),
+last as (select user_id, max(i) as i, arg_max(state, i) as state, arg_max(symbol, i) as symbol, arg_max(lost, i) as lost
+         from strict group by user_id)
+select e.user_id, e.state as final_state, case when a.accepting then 'Malicious' else 'Benign' end as verdict,
+       not l.lost and b.accepting as accepted,
+       case when l.lost then 'no transition on ''' || l.symbol || ''' from state ''' || l.state || ''' at position ' || (l.i - 1)
+            when b.accepting then 'accepted' else 'ended in non-accepting state ''' || l.state || '''' end as reason
+from ends e join last l using (user_id)
+join given_states a on a.state = e.state join given_states b on b.state = l.state""",
+    "walk_given_trace": f"""with recursive {fx.GIVEN_SQL.format(on="true")}
+select user_id, i - 1 as step, before as current_state, symbol, state as next_state from walk where i > 0""",
     "confusion": f"{_RECORDS}, {confusion_sql('recs')} select tp, tn, fp, fn from counts",
     "metrics": f"""with {fx.RECORDS_SQL}, {split_sql('recs')}, {votes_sql('marked', 'is_train')},
 tests as (select * from marked where not is_train), {confusion_sql('tests')} select * from rates""",
