@@ -38,12 +38,42 @@ def written(df: DataFrame, name: str, lookup: bool = False) -> DataFrame:
     path = new_path(df.sparkSession, name)
     plain = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
     df.write.options(**(plain if lookup else {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def mark() -> int:
+    """A point in time, for ``drop_since``."""
+    return len(_paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing still to run reads: what ``written`` returned, not what was made of it."""
+    for table in tables:
+        if table is not None and table.written_to in _paths:
+            _paths.remove(table.written_to)
+            _delete(table.sparkSession, table.written_to)
+
+
+def drop_since(spark: SparkSession, start: int, *keep: DataFrame) -> None:
+    """Delete what was written after ``mark`` gave ``start``, but for ``keep``; lets go of shuffle files, too.
+
+    Spark deletes a shuffle's files when its plan is collected as garbage, which may take long by itself.
+    """
+    kept = {table.written_to for table in keep}
+    for path in [p for p in _paths[start:] if p not in kept]:
+        _paths.remove(path)
+        _delete(spark, path)
+    spark._jvm.System.gc()
 
 
 def drop_written(spark: SparkSession) -> None:
     """Delete the intermediate tables of this process; only once nothing reads them any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _paths:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _paths.pop())
