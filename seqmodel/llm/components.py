@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmodel.sources.scratch import written
+from seqmodel.sources.scratch import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,10 +18,12 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        lower = labels.select("node", "comp").join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("over"))
         new = lower.join(up, "comp", "left").select("node", "was", F.least("comp", F.coalesce("over", "comp")).alias("comp"))
         new = written(new, "labels")
+        discard(labels)
         if new.where("comp <> was").isEmpty():
+            discard(both)
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        labels = new

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqmodel.llm.components import components
 from seqmodel.llm.ragged import map_texts, mix, shingle_sets, slices, utf8, word_hashes, words
-from seqmodel.sources.scratch import written
+from seqmodel.sources.scratch import discard, written
 
 _ONE = np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -172,15 +172,20 @@ def _sketched(docs: DataFrame, chosen: DataFrame, how: Similarity) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, sketched: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sketched.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
-    right = sketched.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
+    """The written pairs (a, b) whose sets link; ``pairs`` is written. Only sets in some pair are sent anywhere."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired", lookup=True)
+    members = sketched.select("id", "elements").join(ids, "id", "left_semi")
+    left = members.select(F.col("id").alias("a"), F.col("elements").alias("ea"))
+    right = members.select(F.col("id").alias("b"), F.col("elements").alias("eb"))
     common = F.size(F.array_intersect("ea", "eb"))
     union = F.size("ea") + F.size("eb") - F.col("common")
-    return (
+    found = (
         pairs.join(left, "a").join(right, "b").withColumn("common", common)
         .where(how.den * F.col("common") >= how.num * union).select("a", "b")
     )
+    found = written(found, "links")
+    discard(ids, pairs)
+    return found
 
 
 def _near(members: DataFrame, how: Similarity) -> DataFrame:
@@ -265,7 +270,8 @@ def _rounds(buckets: DataFrame, sketched: DataFrame, how: Similarity) -> DataFra
     different components are compared by their sketches, block by block, and the near ones exactly.
     """
     degree = buckets.groupBy("id").agg(F.count("*").alias("degree"))
-    rest = written(buckets.join(degree, "id").select("key", "id", "degree", F.col("id").alias("comp")), "buckets")
+    table = rest = written(buckets.join(degree, "id").select("key", "id", "degree", F.col("id").alias("comp")), "buckets")
+    discard(buckets)
     links, labels = None, None
     for turn in range(HUB_ROUNDS + 1):
         hub = F.struct((-F.col("degree")).alias("d"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
@@ -274,12 +280,14 @@ def _rounds(buckets: DataFrame, sketched: DataFrame, how: Similarity) -> DataFra
             .where("low <> high").select("key", "rows", "h.hub", "h.hub_comp")
         )
         rest = written(rest.select("key", "id", "degree", "comp").join(mixed, "key"), "buckets")
+        discard(table)
+        table = rest
         if turn == HUB_ROUNDS or rest.isEmpty():
             break
         met = rest.where("comp <> hub_comp").groupBy("id", "hub").agg(F.count("*").alias("times"))
         best = met.groupBy("id").agg(F.min(F.struct((-F.col("times")).alias("t"), "hub")).alias("m"))
         pairs = best.select(F.least("id", "m.hub").alias("a"), F.greatest("id", "m.hub").alias("b")).distinct()
-        found = written(_checked(pairs, sketched, how), "links")
+        found = _checked(written(pairs, "pairs"), sketched, how)
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
@@ -288,7 +296,7 @@ def _rounds(buckets: DataFrame, sketched: DataFrame, how: Similarity) -> DataFra
     if not rest.isEmpty():
         members = rest.join(sketched.select("id", "n", "sketch"), "id")
         pairs = written(_near(members, how), "near")
-        found = written(_checked(pairs, sketched, how), "links")
+        found = _checked(pairs, sketched, how)
         links = found if links is None else links.union(found)
         labels = components(links)
     if labels is None:
@@ -321,6 +329,7 @@ def linked_groups(df: DataFrame, how: Similarity = Similarity(), id_col: str = "
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
     buckets = written(keys.join(shared, "key", "left_semi").distinct(), "buckets")
     groups = _rounds(buckets, sketched, how)
+    discard(sketched)
     members = linkable.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).join(
         groups.withColumnRenamed("node", "rep"), "rep", "left"
     )
