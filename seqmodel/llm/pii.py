@@ -37,6 +37,9 @@ _LETTERS = {
 }
 _VOWELS = frozenset("aeiouyаеёиоуыэюяαεηιουω")
 
+#: Rounds of proposals of which none was free, after which a plan of numbers counts as full.
+IDLE_ROUNDS = 24
+
 _GENDER = {t.casefold(): g for g, names in TITLES.items() for t in names}
 _GIVEN = {n.casefold(): g for (_, g), names in GIVEN.items() for n in names}
 _NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]*(?:['’-][^\W\d_]+)*"
@@ -45,6 +48,8 @@ _TITLED = re.compile(
 )
 _KNOWN = re.compile(rf"\b(?P<names>(?:{'|'.join(n for names in GIVEN.values() for n in names)})[ \t]+{_NAME})\b")
 _ANY_TITLE = re.compile("|".join(sorted({*(t for ts in TITLES.values() for t in ts), *(n for ns in GIVEN.values() for n in ns)}, key=len, reverse=True)))
+_POSSESSIVE = re.compile(r"['’][sS]$")
+_WORD_BEFORE = re.compile(r"(?<!\w)([^\W\d_]+(?:['’-][^\W\d_]+)*)[ \t]+$")
 _EMAIL_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _DIGIT = re.compile("[0-9]")
 _GROUPED = re.compile(r"[0-9]{4}(?P<gap>[ \-])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{4}(?![0-9])")
@@ -166,8 +171,8 @@ def entities(text: str | None) -> list[Entity]:
     """Emails, IPv4 addresses, phone, card and social security numbers, and names, by position and without overlap.
 
     Names are words in capitals after a title, or a known given name and the next word in capitals; their words are
-    entities of their own, so the surname alone is the same entity as in the full name. Once named, a surname counts
-    wherever it stands in the text. So does a phone number, without separators too; alone it has to have the ten digits
+    entities of their own, so the surname alone is the same entity as in the full name; a possessive 's is none of it.
+    Once named, a surname counts wherever it stands in the text, in whatever case, and a named given name before it. So does a phone number, without separators too; alone it has to have the ten digits
     of a North American one then.
     """
     if not text:
@@ -194,21 +199,26 @@ def entities(text: str | None) -> list[Entity]:
 
 
 def _names(text: str) -> Iterator[Entity]:
-    surnames: dict[str, str] = {}
+    surnames: dict[str, str] = {}  # case-folded
+    givens: dict[str, str] = {}
     for m in [*_TITLED.finditer(text), *_KNOWN.finditer(text)]:
         words = list(re.finditer(r"\S+", m.group("names")))
         gender = _GENDER.get((m.groupdict().get("title") or "").casefold(), "n")
         gender = gender if gender != "n" else _GIVEN.get(words[0].group().casefold(), "n")
         for no, w in enumerate(words):
-            word, start = w.group(), m.start("names") + w.start()
+            word, start = _POSSESSIVE.sub("", w.group()), m.start("names") + w.start()
             kind = f"family_{script_of(word)}" if no == len(words) - 1 else f"given_{gender}_{script_of(word)}"
-            if kind.startswith("family"):
-                surnames[word] = kind
+            (surnames if kind.startswith("family") else givens)[word.casefold()] = kind
             yield Entity(start, start + len(word), kind, word.casefold())
     if surnames:
-        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))) + r")(?!\w)")
+        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))) + r")(?!\w)", re.IGNORECASE)
         for m in again.finditer(text):
-            yield Entity(m.start(), m.end(), surnames[m.group()], m.group().casefold())
+            kind = surnames.get(m.group().casefold())
+            if kind:
+                yield Entity(m.start(), m.end(), kind, m.group().casefold())
+                ahead = _WORD_BEFORE.search(text, max(0, m.start() - 64), m.start())
+                if ahead and ahead.group(1).casefold() in givens:
+                    yield Entity(ahead.start(1), ahead.end(1), givens[ahead.group(1).casefold()], ahead.group(1).casefold())
 
 
 class _Draw:
@@ -253,12 +263,15 @@ def _luhn(digits: str) -> int:
 
 
 def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
-    """The ``attempt``-th proposal for an entity, in canonical form."""
+    """The ``attempt``-th proposal for an entity, in canonical form. An email's has its real domain: it is compared with
+    the others of that domain, of which the surrogate belongs to no other.
+    """
     draw = _Draw(key, kind, canon, attempt)
     if kind == "email":
-        local, _, domain = canon.partition("@")
-        labels = domain.split(".")[:-1]
-        return f"{_reshaped(local, draw)}@{_reshaped('.'.join(labels), _Draw(key, 'domain', domain))}.example"
+        local, _, domain = canon.rpartition("@")
+        return f"{_reshaped(_grown(local, attempt), draw)}@{domain}"
+    if kind == "domain":
+        return _reshaped(_grown(canon.rpartition(".")[0], attempt), draw) + ".example"
     if kind == "ip":
         return ".".join(str(x) for x in (1 + draw.below(223), draw.below(256), draw.below(256), draw.below(256)))
     if kind == "card":
@@ -267,7 +280,7 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
             return body
         return body[:-1] + str((10 - _luhn(body[:-1] + "0")) % 10)
     if kind == "phone":
-        code = _CODE.match(canon, 1).group() if canon[0] == "+" and attempt < 8 else ""  # few digits are left of short ones
+        code = _CODE.match(canon, 1).group() if canon[0] == "+" else ""
         rest = canon.removeprefix("+")[len(code) :]
         dialled = len(rest) == 10 and rest[0] > "1" and rest[3] > "1"
         body = str(2 + draw.below(8)) + "".join(str(2 + draw.below(8) if dialled and i == 3 else draw.below(10)) for i in range(1, len(rest)))
@@ -278,8 +291,21 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         _, gender, script = kind.split("_")
         names = GIVEN[script, gender] if gender != "n" else GIVEN[script, "m"] + GIVEN[script, "f"]
         return "-".join(names[draw.below(len(names))].casefold() for _ in range(1 + attempt))
-    longer = canon + "".join(_LETTERS[script_of(canon)][i % 2][0] for i in range(attempt))
-    return _reshaped(longer, draw)
+    return _reshaped(_grown(canon, attempt), draw)
+
+
+def _grown(name: str, letters: int) -> str:
+    """``name`` with so many more letters of its script, so that there are ever more surrogates."""
+    return name + "".join(_LETTERS[script_of(name)][i % 2][0] for i in range(letters))
+
+
+def final_surrogate(kind: str, canon: str, attempts: dict[tuple[str, str], int], key: bytes) -> str:
+    """The surrogate of an entity; an email has its domain's, which is an entity of its own."""
+    new = surrogate(kind, canon, attempts.get((kind, canon), 0), key)
+    if kind != "email":
+        return new
+    domain = canon.rpartition("@")[2]
+    return new.rpartition("@")[0] + "@" + surrogate("domain", domain, attempts.get(("domain", domain), 0), key)
 
 
 def rendered(kind: str, new: str, old: str) -> str:
@@ -305,7 +331,7 @@ def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
         return text, 0
     out, at = [], 0
     for e in found:
-        new = surrogate(e.kind, e.canon, attempts.get((e.kind, e.canon), 0), key)
+        new = final_surrogate(e.kind, e.canon, attempts, key)
         out += [text[at : e.start], rendered(e.kind, new, text[e.start : e.end])]
         at = e.end
     return "".join([*out, text[at:]]), len(found)
@@ -316,6 +342,10 @@ def _text_key(text_col: str) -> list[Column]:
     return [F.xxhash64(text).alias("__k1"), F.xxhash64(F.lit(1), text).alias("__k2")]
 
 
+def _distinct(found: list[Entity]) -> set[tuple[str, str]]:
+    return {(e.kind, e.canon) for e in found} | {("domain", e.canon.rpartition("@")[2]) for e in found if e.kind == "email"}
+
+
 def _occurring(df: DataFrame, text_col: str) -> DataFrame:
     """(__k1, __k2, kind, canon): the different entities of each text."""
 
@@ -325,7 +355,7 @@ def _occurring(df: DataFrame, text_col: str) -> DataFrame:
                 rows = [
                     (a, b, kind, canon)
                     for a, b, text in zip(*[batch.column(c).to_pylist() for c in ("__k1", "__k2", text_col)], strict=True)
-                    for kind, canon in {(e.kind, e.canon) for e in entities(text)}
+                    for kind, canon in _distinct(entities(text))
                 ]
                 if rows:
                     yield pa.RecordBatch.from_pydict(dict(zip(("__k1", "__k2", "kind", "canon"), zip(*rows, strict=True), strict=True)))
@@ -337,8 +367,9 @@ def later_attempts(entities_: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first proposal is taken.
 
     A proposal is taken if it is a real entity of its kind, an earlier surrogate, or also that of a smaller entity. Those
-    that are left propose again until none is left; names get longer with each attempt, so that ends. ``entities_``
-    has distinct (kind, canon).
+    that are left propose again until none is left. Names, local parts and domains get longer with each attempt, so that
+    ends; numbers keep their format, and where ``IDLE_ROUNDS`` in a row find no free one their plan is full: an error.
+    ``entities_`` has distinct (kind, canon).
     """
 
     def propose(attempt: int):
@@ -350,7 +381,7 @@ def later_attempts(entities_: DataFrame, key: bytes) -> DataFrame:
         return run
 
     real = entities_.select("kind", F.col("canon").alias("new"))
-    left, taken, late, attempt = entities_, None, None, 0
+    left, taken, late, attempt, idle = entities_, None, None, 0, 0
     while True:
         proposed = left.select("kind", "canon").mapInArrow(propose(attempt), "kind string, canon string, new string")
         first = proposed.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
@@ -358,11 +389,15 @@ def later_attempts(entities_: DataFrame, key: bytes) -> DataFrame:
         if taken is not None:
             good = good.join(taken.select("kind", "new"), ["kind", "new"], "left_anti")
         good = written(good.select("kind", "canon", "new", F.lit(attempt).alias("attempt")), "surrogates")
+        idle = idle + 1 if good.isEmpty() else 0
         taken = good if taken is None else written(taken.union(good), "surrogates")
         late = taken.where("attempt > 0")
         left = written(left.select("kind", "canon").join(good, ["kind", "canon"], "left_anti"), "surrogates-left")
         if left.isEmpty():
             return written(late.select("kind", "canon", "attempt"), "later-attempts", lookup=True)
+        if idle == IDLE_ROUNDS:
+            kinds = [r["kind"] for r in left.select("kind").distinct().collect()]
+            raise ValueError(f"no free surrogates are left for entities of kind {', '.join(sorted(kinds))}")
         attempt += 1
 
 
@@ -372,7 +407,7 @@ def with_surrogates(df: DataFrame, key: str, text_col: str = "text", count_col:
     The surrogate of an entity depends on the key and the entity alone, so it is the same in every document. All
     different entities of the table are compared with all surrogates; only those whose first proposal is taken need
     an entry, and only texts that hold one of these get it joined. Null texts stay null, texts without entities
-    stay as they are, equal rows stay equal; an empty table gives an empty table. A column named ``count_col``
+    stay as they are, equal rows stay equal, texts are taken whole however long; an empty table gives an empty table. A column named ``count_col``
     is replaced.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
