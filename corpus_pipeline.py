@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqmodel.llm import decontaminate, mixing, parity_join, pii, qda
-from seqmodel.sources.scratch import written
+from seqmodel.sources.scratch import drop_since, mark, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,18 +32,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(COLUMNS)
     if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return _near_duplicate_rows(docs)
+    start = mark()
     groups = parity_join.linked_groups(docs, _LINKED)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(written(copies, "copies", lookup=True), "doc_id", "left_anti").select(COLUMNS)
+    copies = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies", lookup=True)
+    del groups
+    drop_since(spark, start, copies)
+    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
 
 
 def _near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    start = mark()
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
     rows = written(named.withColumn("__row", F.monotonically_increasing_id()), "document-rows")
     groups = parity_join.linked_groups(rows.select("__row", "text"), _LINKED, id_col="__row").select("__row", "component_id")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "__row")
     first = groups.join(rows.select("__row", place.alias("place")), "__row").groupBy("component_id").agg(F.min("place").alias("place"))
     kept = written(first.select(F.col("place.__row").alias("__row")), "kept", lookup=True)
+    del groups, first
+    drop_since(docs.sparkSession, start, rows, kept)
     return rows.join(kept, "__row", "left_semi").select(COLUMNS)
 
 
@@ -79,5 +85,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        start = mark()
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_since(spark, start, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
