@@ -18,7 +18,9 @@ from seqmodel.llm.token_count import _NOT_PLAIN, _PLAIN, BytePairs
 from seqmodel.sources.scratch import written
 
 #: Ids of so many different pre-tokens are remembered between batches of a task, then forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Pieces that are widened and placed at once: 16 MB of ids at most in windows of 2048.
+PLACED_ROWS = 2_000
 _WIDTH = 4
 # Above any rank within a length, so that (length, rank) fits one number.
 _RANKS = 1 << 48
@@ -308,7 +310,7 @@ def packed(df: DataFrame, path: str, how: Packing = Packing(), id_col: str = "do
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, PLACED_ROWS) for whole in batches for i in range(0, whole.num_rows, PLACED_ROWS)):
             length, rank = (np.asarray(batch.column(c), np.int64) for c in ("length", "rank"))
             fits = rank < plan.placed[length]
             at = np.flatnonzero(fits)
