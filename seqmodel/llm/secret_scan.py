@@ -16,6 +16,7 @@ BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16
 _LONG_HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 _LONG_ACCESS = r"AKIA[A-Z0-9]{14,}+"
 
+#: Runs of ``_LEAST`` characters or more.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*"
 _BLOCK = 256
 
@@ -45,6 +46,10 @@ ALLOW_LIST = (
     r"^(?:sha1|sha256|sha384|sha512|md5)-",
     r"(?i:example|placeholder|dummy|changeme|xxxx|0123456789|abcdefgh)",
 )
+#: Placeholders that stand as a path or name segment of their own: the rest of the candidate is judged without them.
+SEGMENTS = r"(?<![^/_-])(?i:examples?|placeholders?|dummy|changeme|x{4,})(?![^/_-])"
+_PARTS = rf"{SEGMENTS}|(?!{SEGMENTS})[A-Za-z0-9+=](?:(?!{SEGMENTS})[A-Za-z0-9+/_=-])*(?<![/_-])"
+_LEAST = 20
 
 
 def running_sums(values: Column) -> Column:
@@ -134,6 +139,16 @@ def _hot_spans(m: Column, no: int, kind: CharacterClass) -> Column:
     )
 
 
+def _parts(m: Column) -> Column:
+    """The match itself, or what lies between its placeholder segments; (start, end, value) in the text."""
+    long = F.filter(matches(m["value"], _PARTS), lambda p: (F.length(p["value"]) >= _LEAST) & ~p["value"].rlike(rf"^{SEGMENTS}$"))
+    moved = F.transform(
+        long,
+        lambda p: F.struct((m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["value"].alias("value")),
+    )
+    return F.when(m["value"].rlike(SEGMENTS), moved).otherwise(F.array(m))
+
+
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -144,9 +159,10 @@ def scan_secrets(
     """``df`` with ``assign``, ``access``, ``hex`` and ``entropy``: arrays of (start, kind, end), sorted, in code points.
 
     ``kind`` numbers assign, access, hex, then the classes. Candidate strings are maximal runs of 20 or more of
-    ``A-Za-z0-9+/_-``; a candidate that the allow list matches, or that is itself a base hex or access match, adds
-    nothing. Others add the range from their first to their last hot window. Method spans may lie inside an assign
-    span. All work is in the row: no shuffle, and null or empty texts, ties and repeated rows need no care. Columns
+    ``A-Za-z0-9+/_-``. Where a placeholder is a segment of its own (``/examples/``), the parts between such segments are
+    candidates in its stead, so that a key behind it is found. A candidate that the allow list matches, or that is itself
+    a base hex or access match, adds nothing. Others add the range from their first to their last hot window. Method spans
+    may lie inside an assign span. All work is in the row: no shuffle, and null or empty texts, ties and repeated rows need no care. Columns
     named like the four new ones are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -159,7 +175,7 @@ def scan_secrets(
 
     def method() -> Column:
         found = F.filter(
-            matches(text, CANDIDATE),
+            F.flatten(F.transform(matches(text, CANDIDATE), _parts)),
             lambda m: ~m["value"].rlike(r"^(?:[0-9a-f]{16,}|AKIA[A-Z0-9]{14,})$") & ~m["value"].rlike("|".join(f"(?:{a})" for a in allow_list) or "(?!)"),
         )
 

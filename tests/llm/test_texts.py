@@ -155,6 +155,20 @@ def secrets_of(text):
     return n[0], n[1], n[2], hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)
 
 
+def test_a_key_behind_a_placeholder_segment_is_found(spark):
+    key = "k9fQ2mZ7xT4wB8nR1vL6cY3hJ5pD0sGa"
+    found = ["https://cdn/api/examples/v1/" + key, "x é xxxx-" + key, key + "_dummy_" + key[::-1]]
+    none = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "a-example-" + key[:19], key + "changeme", "examples/dummy/placeholder-xxxx", "EXAMPLES" * 4, "examples/550e8400-e29b-41d4-a716-446655440000"]
+    rows = secret_scan.secret_report(cases.documents(spark, found + none)).orderBy("doc_id").collect()
+    spans = {r.doc_id: [tuple(x.split(":")) for x in r.spans.split(",") if x] for r in rows}
+    text = dict(enumerate(found + none, rows[0].doc_id))
+    for no, t in text.items():
+        hot = [(int(a), int(b)) for kind, a, b in spans[no] if kind == "entropy_base64"]
+        want = [x for x in (key, key[::-1]) if x in t] if t in found else []
+        assert len(hot) == len(want), t
+        assert all(any(t[a:b] in x or x in t[a:b] for a, b in hot) for x in want), t
+
+
 def test_secrets(spark):
     rng = random.Random(4)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
