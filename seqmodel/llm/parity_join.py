@@ -17,9 +17,12 @@ from seqmodel.sources.scratch import discard, written
 
 _ONE = np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Members of a bucket that are compared in one block, and words of the sketch that is compared.
+#: Members of a bucket that are compared in one block.
 BLOCK = 256
-WORDS = 32
+#: Words of the sketch that goes to the buckets of a set, and of the longest that pairs are sifted by. A longer set has no
+#: longer sketch: more of its pairs are checked exactly.
+BUCKET_WORDS = 32
+MOST_WORDS = 512
 #: Rounds in which members are checked against a hub before the rest is compared block by block.
 HUB_ROUNDS = 4
 
@@ -81,14 +84,31 @@ class Similarity:
         return np.concatenate(out)
 
 
-def sketch_of(elements: np.ndarray) -> bytes:
-    """Parity of the elements hashed to each of 64 ``WORDS`` bits; the Hamming distance of two is at most their difference."""
-    words_ = np.zeros(WORDS, np.uint64)
+def sketch_of(elements: np.ndarray, most: int = MOST_WORDS) -> bytes:
+    """Parity of the elements hashed to each of its bits; the Hamming distance of two is at most their difference.
+
+    Between ``BUCKET_WORDS`` and ``most`` words there is a bit or more for each element. The number of words is a power of
+    two, so that a long sketch folds to a short one: the XOR of its parts is the sketch that the set has in fewer words.
+    """
+    width = max(BUCKET_WORDS, min(most, 1 << max(0, -(-len(elements) // 64) - 1).bit_length()))
+    words_ = np.zeros(width, np.uint64)
     hashed = mix(elements ^ (_ODD >> _ONE))
-    np.bitwise_xor.at(words_, ((hashed >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64), _ONE << (hashed & np.uint64(63)))
+    np.bitwise_xor.at(words_, ((hashed >> np.uint64(6)) % np.uint64(width)).astype(np.int64), _ONE << (hashed & np.uint64(63)))
     return words_.tobytes()
 
 
+def folded(sketches: np.ndarray) -> np.ndarray:
+    """A matrix of sketches, all in as many words as the shortest has."""
+    sizes = np.array([len(x) // 8 for x in sketches])
+    width = int(sizes.min())
+    out = np.empty((len(sketches), width), np.uint64)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        whole = np.frombuffer(b"".join(sketches[rows]), np.uint64).reshape(len(rows), size // width, width)
+        out[rows] = np.bitwise_xor.reduce(whole, axis=1)
+    return out
+
+
 def _digest(elements: np.ndarray) -> tuple[int, int]:
     a = mix(elements).sum(dtype=np.uint64)
     b = np.bitwise_xor.reduce(mix(elements ^ _ODD)) if len(elements) else np.uint64(0)
@@ -153,7 +173,7 @@ def _linkable(docs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
 
 
 def _sketched(docs: DataFrame, chosen: DataFrame, how: Similarity) -> DataFrame:
-    """(id, n, elements, keys, sketch) of the chosen documents; the digest tells rows of equal id apart."""
+    """(id, n, elements, keys, short, sketch) of the chosen documents; the digest tells rows of equal id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,13 +182,34 @@ def _sketched(docs: DataFrame, chosen: DataFrame, how: Similarity) -> DataFrame:
                 found = shingle_sets(*utf8(batch.column("text")), how.size)
                 for no, d1, d2, s in zip(*[batch.column(c).to_pylist() for c in ("id", "d1", "d2")], found, strict=True):
                     if _digest(s) == (d1, d2):
-                        rows.append((no, len(s), s.view(np.int64), how.keys(s).view(np.int64), sketch_of(s)))
+                        rows.append((no, len(s), s.view(np.int64), how.keys(s).view(np.int64), sketch_of(s, BUCKET_WORDS), sketch_of(s)))
                 if rows:
-                    no, n, s, k, bits = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_pydict({"id": no, "n": n, "elements": list(s), "keys": list(k), "sketch": list(bits)})
+                    no, n, s, k, short, bits = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_pydict({
+                        "id": no, "n": n, "elements": list(s), "keys": list(k), "short": list(short), "sketch": list(bits),
+                    })
 
     joined = docs.join(chosen.select("id", "d1", "d2"), "id").select("id", "d1", "d2", "text")
-    return joined.mapInArrow(run, "id long, n long, elements array<bigint>, keys array<bigint>, sketch binary")
+    return joined.mapInArrow(run, "id long, n long, elements array<bigint>, keys array<bigint>, short binary, sketch binary")
+
+
+def _sifted(pairs: DataFrame, sketched: DataFrame, how: Similarity) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more bits than linked sets may. Sends sketches, no elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            total = np.asarray(batch.column("na"), np.int64) + np.asarray(batch.column("nb"), np.int64)
+            for i, both in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)):
+                left, right = folded(np.array(both, object))
+                apart = int(np.bitwise_count(left ^ right).sum())
+                near[i] = apart * (how.den + how.num) <= total[i] * (how.den - how.num)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    left = sketched.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketched.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(run, "a long, b long").distinct()
 
 
 def _checked(pairs: DataFrame, sketched: DataFrame, how: Similarity) -> DataFrame:
@@ -204,6 +245,7 @@ def _near(members: DataFrame, how: Similarity) -> DataFrame:
     )
 
     def compared(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sketch = folded(group["sketch"])
         first = group["own"] == group["x"][0]
         left = np.flatnonzero(first)
         right = left if group["x"][0] == group["y"][0] else np.flatnonzero(~first)
@@ -211,8 +253,8 @@ def _near(members: DataFrame, how: Similarity) -> DataFrame:
         for start in range(0, len(left), 64):
             rows = left[start : start + 64]
             apart = np.zeros((len(rows), len(right)), np.int64)
-            for w in range(WORDS):
-                apart += np.bitwise_count(group["sketch"][rows, w][:, None] ^ group["sketch"][right, w][None, :])
+            for w in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[rows, w][:, None] ^ sketch[right, w][None, :])
             total = group["n"][rows][:, None] + group["n"][right][None, :]
             near = (apart * (how.den + how.num) <= total * (how.den - how.num)) & (group["comp"][rows][:, None] != group["comp"][right][None, :])
             i, j = np.nonzero(near)
@@ -248,7 +290,8 @@ def _near(members: DataFrame, how: Similarity) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = {c: np.asarray(batch.column(c), np.int64) for c in names}
-            table["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+            table["sketch"] = np.empty(batch.num_rows, object)
+            table["sketch"][:] = batch.column("sketch").to_pylist()
             if rest is not None:
                 table = {c: np.concatenate((rest[c], table[c])) for c in table}
             found, rest = closed(table, last=False)
@@ -287,16 +330,17 @@ def _rounds(buckets: DataFrame, sketched: DataFrame, how: Similarity) -> DataFra
         met = rest.where("comp <> hub_comp").groupBy("id", "hub").agg(F.count("*").alias("times"))
         best = met.groupBy("id").agg(F.min(F.struct((-F.col("times")).alias("t"), "hub")).alias("m"))
         pairs = best.select(F.least("id", "m.hub").alias("a"), F.greatest("id", "m.hub").alias("b")).distinct()
-        found = _checked(written(pairs, "pairs"), sketched, how)
+        found = _checked(written(_sifted(pairs, sketched, how), "pairs"), sketched, how)
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         labels = components(links)
         rest = _labelled(rest, labels)
     if not rest.isEmpty():
-        members = rest.join(sketched.select("id", "n", "sketch"), "id")
-        pairs = written(_near(members, how), "near")
-        found = _checked(pairs, sketched, how)
+        members = rest.join(sketched.select("id", "n", F.col("short").alias("sketch")), "id")
+        near = written(_near(members, how), "near")
+        found = _checked(written(_sifted(near, sketched, how), "pairs"), sketched, how)
+        discard(near)
         links = found if links is None else links.union(found)
         labels = components(links)
     if labels is None:

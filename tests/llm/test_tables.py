@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import cases
+import numpy as np
 import pytest
 from compare import difference, oracle
 from pyspark.sql import functions as F
@@ -175,6 +176,20 @@ def groups(texts, how):
 HOWS = [parity_join.Similarity(3, 90, 100, 0), parity_join.Similarity(5, 80, 100, 1), parity_join.Similarity(2, 60, 100, 1)]
 
 
+def test_sketches_fold_and_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (1, 65), (64, 70), (300, 340), (5_000, 4_000), (50_000, 40_000)]:
+        union = np.unique(rng.integers(0, 2**63, n + m, np.int64).view(np.uint64))
+        left, right = union[:n], union[n // 2 : n // 2 + m]
+        apart = len(np.setxor1d(left, right))
+        for most in (parity_join.BUCKET_WORDS, parity_join.MOST_WORDS):
+            both = np.array([parity_join.sketch_of(left, most), parity_join.sketch_of(right, most)], object)
+            a, b = parity_join.folded(both)
+            assert np.bitwise_count(a ^ b).sum() <= apart
+            short = min(both, key=len)
+            assert any(row.tobytes() == short for row in (a, b))
+
+
 @pytest.mark.parametrize("how", HOWS, ids=str)
 def test_linked_groups_by_brute_force(spark, how):
     rng = random.Random(8)
