@@ -9,8 +9,9 @@ picks the attempt that consumed most input.
 A sequence is folded inside a row: the set of reachable configurations is an array that each symbol
 maps to the next set, without a shuffle or a round trip. Sequences above ``CHUNK_EVENTS`` are cut into
 chunks of that many symbols and folded chunk by chunk, with the configurations carried in between.
-Rules whose input-free steps can go round in a circle take the frontier join instead: one row per
-live configuration, one join with rules and events per step.
+Rules whose input-free steps can go round in a circle are looked at before any data: what a run can do
+depends on the state and the top of the stack alone, so the rule table says whether a circle can let the
+stack grow (an error) and how many input-free steps the shortest way to any configuration has at most.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqmodel.operators.ordered import parted_by_size
+from seqmodel.operators.ordered import ordered, parted_by_size
 from seqmodel.operators.sessions import positions
 from seqmodel.sources.scratch import written
 
@@ -31,7 +32,6 @@ OP_PUSH, OP_POP, OP_NONE = "PUSH", "POP", "NO_OP"
 
 CHUNK_EVENTS = 65_536
 BLOCK_EVENTS = 256
-MAX_ROUNDS = 50_000
 
 COLUMNS = ("rule_no", "state", "input", "pop", "push", "next_state")
 RULE_TYPE = "struct<rule_no:int,state:string,input:string,pop:string,push:array<string>,next_state:string>"
@@ -96,6 +96,88 @@ class Rules:
                 return None
         return max(steps - 1, 0) if after else 0
 
+    def silent_bound(self) -> tuple[int, int]:
+        """(a, b): an input-free run is never longer than a + b * (depth of the stack) if it is the shortest one.
+
+        Raises if a circle of input-free steps that can be reached lets the stack grow: such runs have no end.
+        """
+        silent = [row for row in self.rows if row[2] is None]
+        reachable = _reached(_heads(self.rows, _pop_steps(self.rows), {(self.start, None)}), (self.start, None))
+        popping = _pop_steps(silent)
+        edges = _heads(silent, popping, reachable)
+        for head, found in edges.items():
+            for target, (_, grows) in found.items():
+                if grows and head in _reached(edges, target):
+                    raise ValueError(f"rules push without end and without input in state {head[0]}")
+        longest = max((steps for found in edges.values() for steps, _ in found.values()), default=0)
+        return len(edges) * longest + 1, max(popping.values(), default=0)
+
+
+Head = tuple[str, str | None]  # a state and the symbol on top, None at the bottom of the stack
+
+
+def _pop_steps(rows: list[tuple]) -> dict[tuple[str, str, str], int]:
+    """Fewest steps from a state with a symbol on top until that symbol is gone, by the state then reached."""
+    symbols = {x for row in rows for x in (row[3], *row[4]) if x is not None}
+    found: dict[tuple[str, str, str], int] = {}
+    changed = True
+    while changed:
+        changed = False
+        for _, state, _, pop, push, target in rows:
+            for top in symbols if pop is None else {pop}:
+                *_, gone = _unstacked(target, [*push, top] if pop is None else list(push), found)
+                for end, steps in gone.items():
+                    if steps < found.get((state, top, end), steps + 1):
+                        found[state, top, end] = steps
+                        changed = True
+    return found
+
+
+def _unstacked(target: str, stack: list, popping: dict[tuple[str, str, str], int]) -> list[dict[str, int]]:
+    """After a step to ``target`` with ``stack`` (top first): the states in which each cell comes to the top, then
+    those in which all are gone, with the fewest steps so far."""
+    levels = [{target: 1}]
+    for symbol in stack:
+        after: dict[str, int] = {}
+        for (state, top, end), steps in popping.items():
+            if top == symbol and state in levels[-1]:
+                after[end] = min(levels[-1][state] + steps, after.get(end, levels[-1][state] + steps))
+        levels.append(after)
+    return levels
+
+
+def _heads(rows: list[tuple], popping: dict, heads: set[Head]) -> dict[Head, dict[Head, tuple[int, bool]]]:
+    """From each head on: the heads that come next without going below its top, in how many steps, and whether
+    something stays underneath that was not there before."""
+    edges: dict[Head, dict[Head, tuple[int, bool]]] = {}
+    waiting = list(heads)
+    while waiting:
+        head = waiting.pop()
+        if head in edges:
+            continue
+        found = edges.setdefault(head, {})
+        for _, state, _, pop, push, target in rows:
+            if state != head[0] or pop not in (None, head[1]):
+                continue
+            stack = [*push, head[1]] if pop is None else list(push)
+            for place, states in enumerate(_unstacked(target, stack, popping)[: len(stack)]):
+                for state_then, steps in states.items():
+                    at = (state_then, stack[place])
+                    known = found.get(at, (0, False))
+                    found[at] = (max(steps, known[0]), known[1] or place < len(stack) - 1)
+                    waiting.append(at)
+    return edges
+
+
+def _reached(edges: dict[Head, dict], head: Head) -> set[Head]:
+    seen, waiting = {head}, [head]
+    while waiting:
+        for target in edges.get(waiting.pop(), ()):
+            if target not in seen:
+                seen.add(target)
+                waiting.append(target)
+    return seen
+
 
 def _bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once."""
@@ -166,7 +248,7 @@ def _least(configs: Column) -> Column:
 
 
 class Fold:
-    """The search as a fold over symbols; needs input-free chains of bounded length.
+    """The search as a fold over symbols. Input-free rules that go round in a circle must not let the stack grow.
 
     The accumulator is struct(configs, best): the configurations right after reading a symbol, and,
     once there are none left, the path of the attempt that came furthest.
@@ -175,6 +257,7 @@ class Fold:
     def __init__(self, rules: Rules):
         self.rules = rules
         self.chain = rules.empty_chain()
+        self.bound = rules.silent_bound() if self.chain is None else None
         self.reading = rules.literal(lambda row: row[2] is not None)
         self.silent = rules.literal(lambda row: row[2] is None)
 
@@ -186,12 +269,29 @@ class Fold:
         return F.struct(F.array(first).cast(_CARRIED).alias("configs"), F.expr(_NO_PATH).alias("best"))
 
     def _closed(self, configs: Column) -> Column:
+        anything = lambda r: F.lit(True)
+        if self.bound is not None:
+            return _bind(configs, lambda c: self._settled(c, lambda new: _moves(new, self.silent, anything)))
         if not self.chain:
             return configs
-        anything = lambda r: F.lit(True)
         grow = lambda c, _: _smallest(F.concat(c, _moves(c, self.silent, anything)))
         return F.aggregate(F.sequence(F.lit(1), F.lit(self.chain)), configs, grow)
 
+    def _settled(self, configs: Column, moves) -> Column:
+        """``configs`` and all that input-free steps lead to; only what is new or reached by less goes on."""
+        deepest = F.array_max(F.transform(configs, lambda c: F.size(c["stack"])))
+        most = F.lit(self.bound[0]) + F.lit(self.bound[1]) * F.coalesce(deepest, F.lit(0))
+
+        def grow(acc: Column, _) -> Column:
+            merged = _bind(
+                _smallest(F.concat(acc["known"], moves(acc["new"]))),
+                lambda found: F.struct(found.alias("known"), F.array_except(found, acc["known"]).alias("new")),
+            )
+            return F.when(F.size(acc["new"]) == 0, acc).otherwise(merged)
+
+        begin = F.struct(configs.alias("known"), configs.alias("new"))
+        return F.aggregate(F.sequence(F.lit(1), most), begin, grow, lambda acc: acc["known"])
+
     def _step(self, acc: Column, symbol: Column) -> Column:
         """``acc`` is struct(configs, last): ``last`` is the best attempt before none was left."""
         moved = _moves(self._closed(acc["configs"]), self.reading, lambda r: r["input"] == symbol)
@@ -271,81 +371,12 @@ def fold_chunks(chunks: DataFrame, key: str, fold: Fold) -> DataFrame:
     )
 
 
-def frontier_rules(events: DataFrame, key: str, rules: Rules, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(key, accepted, path) from rows (key, pos, symbol) with pos 0, 1, ... per key.
+def rule_attempts(events: DataFrame, key: str, order: list[str], symbol: str, rules: Rules,
+                  end: str | None = None, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
+    """(key, accepted, path) per sequence of event rows; ``end`` is a symbol put after the last one.
 
-    Round r holds the configurations after r rules, so the first round a configuration shows up in
-    has its shortest path and equal configurations of one round keep the smallest. ``max_rounds``
-    bounds rules that push without reading; a search that is not over by then is an error, no reject.
+    Rules that can push for ever without reading are an error, raised before any data is read.
     """
-    spark = events.sparkSession
-    chain = rules.empty_chain()
-    table = spark.createDataFrame(rules.rows, RULE_TYPE)
-    reading = table.filter("input is not null").withColumnRenamed("state", "from_state")
-    silent = table.filter("input is null").withColumnRenamed("state", "from_state")
-    # Rounds read a moving range of positions: range-partitioned files let the scan skip the rest.
-    events = written(
-        events.select(key, "pos", "symbol").repartitionByRange("pos").sortWithinPartitions("pos"), "input"
-    )
-    lengths = written(events.groupBy(key).agg((F.max("pos") + 1).alias("n")), "lengths", lookup=True)
-    empty_path = F.array().cast("array<int>")
-    frontier = written(
-        lengths.select(
-            key, "n", F.lit(rules.start).alias("state"), F.lit(0).cast("long").alias("pos"),
-            F.array().cast("array<string>").alias("stack"), empty_path.alias("path"),
-        ),
-        "frontier",
-    )
-
-    def standing(rows: DataFrame) -> DataFrame:
-        done = (F.col("pos") == F.col("n")) & F.col("state").isin(*rules.accepting)
-        return rows.select(
-            key, F.struct((~done).alias("open"), (-F.col("pos")).alias("left"),
-                          F.size("path").alias("steps"), "path").alias("best"),
-        )
-
-    def moved(rows: DataFrame, pos: Column) -> DataFrame:
-        stack = F.col("stack")
-        rule = {"pop": F.col("pop"), "push": F.col("push")}
-        return rows.filter(_pops(stack, rule)).select(
-            key, "n", F.col("next_state").alias("state"), pos.alias("pos"),
-            _after(stack, rule).alias("stack"), F.concat("path", F.array("rule_no")).alias("path"),
-        )
-
-    best = written(standing(frontier), "best")
-    seen = frontier
-    for number in range(1, max_rounds + 1):
-        low = 0 if chain is None else number // (chain + 1) - 1
-        here = events.filter(F.col("pos").between(low, number - 1))
-        on_state = F.col("state") == F.col("from_state")
-        read = frontier.join(here, [key, "pos"]).join(reading, on_state & (F.col("symbol") == F.col("input")))
-        steps = moved(read, F.col("pos") + 1).unionByName(
-            moved(frontier.join(silent, on_state), F.col("pos"))
-        )
-        configs = [key, "n", "state", "pos", "stack"]
-        steps = steps.groupBy(*configs).agg(F.min("path").alias("path"))
-        if chain is None:
-            steps = steps.join(seen.select(*configs), configs, "left_anti")
-        accepted = best.filter(~F.col("best.open")).select(key)
-        frontier = written(steps.join(accepted, key, "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        best = written(
-            best.unionByName(standing(frontier)).groupBy(key).agg(F.min("best").alias("best")), "best"
-        )
-        if chain is None:
-            seen = seen.unionByName(frontier)
-            if number % 16 == 0:
-                seen = written(seen, "seen")
-    else:
-        raise RuntimeError(f"the rules still push without reading after {max_rounds} steps: no verdict")
-    return best.select(key, (~F.col("best.open")).alias("accepted"), F.col("best.path").alias("path"))
-
-
-def rule_attempts(events: DataFrame, key: str, order: list[str], symbol: str, rules: Rules,
-                  end: str | None = None, chunk_events: int = CHUNK_EVENTS,
-                  max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(key, accepted, path) per sequence of event rows; ``end`` is a symbol put after the last one."""
 
     def placed(rows: DataFrame) -> DataFrame:
         rows = positions(rows, [key], [*order, symbol]).select(key, "pos", F.col(symbol).alias("symbol"))
@@ -354,8 +385,6 @@ def rule_attempts(events: DataFrame, key: str, order: list[str], symbol: str, ru
         last = rows.groupBy(key).agg((F.max("pos") + 1).alias("pos"))
         return rows.unionByName(last.withColumn("symbol", F.lit(end)))
 
-    if rules.empty_chain() is None:
-        return frontier_rules(placed(events), key, rules, max_rounds)
     fold = Fold(rules)
     small, large, _ = parted_by_size(events, [key], chunk_events)
     items = F.array_sort(F.collect_list(F.struct(*order, F.col(symbol).alias("__s"))))
@@ -373,38 +402,57 @@ def rule_attempts(events: DataFrame, key: str, order: list[str], symbol: str, ru
     return found.unionByName(fold_chunks(written(chunks, "chunks"), key, fold))
 
 
-def rule_step_trace(attempts: DataFrame, key: str, rules: Rules) -> DataFrame:
-    """One row per step of each path: step, op, symbol, stack_after, current_state, next_state."""
-    listed = rules.literal()
-    step_type = "op:string,symbol:string,stack_after:array<string>,current_state:string,next_state:string"
-
-    def apply(acc: Column, no: Column) -> Column:
-        def with_rule(r: Column) -> Column:
-            op = (
-                F.when(F.size(r["push"]) > 0, F.lit(OP_PUSH))
-                .when(r["pop"].isNotNull(), F.lit(OP_POP))
-                .otherwise(F.lit(OP_NONE))
-            )
-            return _bind(
-                _after(acc["stack"], r),
-                lambda stack: F.struct(
-                    stack.alias("stack"),
-                    F.array_append(
-                        acc["steps"],
-                        F.struct(
-                            op.alias("op"), F.coalesce(r["input"], F.lit(EMPTY)).alias("symbol"),
-                            stack.alias("stack_after"), r["state"].alias("current_state"),
-                            r["next_state"].alias("next_state"),
-                        ),
-                    ).alias("steps"),
-                ),
-            )
+def rule_steps(attempts: DataFrame, key: str, rules: Rules) -> DataFrame:
+    """One row of fixed size per step of each path: step, op, symbol, depth, states, the rule's pop and push."""
+    rows = attempts.select(
+        key, (F.size("path") - 1).alias("last_step"), F.posexplode("path").alias("step", "no")
+    ).withColumn("r", F.get(rules.literal(), F.col("no")))
+    effect = F.size("r.push") - F.col("r.pop").isNotNull().cast("int")
+    op = (
+        F.when(F.size("r.push") > 0, F.lit(OP_PUSH))
+        .when(F.col("r.pop").isNotNull(), F.lit(OP_POP))
+        .otherwise(F.lit(OP_NONE))
+    )
+    return ordered(rows, [key], ["step"]).running_sum(effect, "depth").rows().select(
+        key, "step", "last_step", op.alias("op"), F.coalesce("r.input", F.lit(EMPTY)).alias("symbol"),
+        F.col("depth").cast("int").alias("depth"), F.col("r.state").alias("current_state"), "r.next_state",
+        "r.pop", "r.push",
+    )
+
 
-        return _bind(F.get(listed, no), with_rule)
+def rule_stack_cells(steps: DataFrame, key: str) -> DataFrame:
+    """One row per pushed symbol: (key, level, symbol, from_step, to_step), the steps after which it is on the stack.
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("stack"),
-        F.array().cast(f"array<struct<{step_type}>>").alias("steps"),
+    A step pops one symbol at most, so pushes and pops of a level take turns: a cell lives until the next pop there.
+    """
+    below = F.col("depth") - F.size("push")
+    pushed = steps.select(key, "step", "last_step", F.lit(1).alias("kind"), below.alias("below"),
+                          F.posexplode(F.reverse("push")).alias("nth", "cell"))
+    pushed = pushed.select(key, "step", "last_step", "kind", (F.col("below") + F.col("nth") + 1).alias("level"), "cell")
+    popped = steps.filter(F.col("pop").isNotNull()).select(
+        key, "step", "last_step", F.lit(0).alias("kind"), (below + 1).alias("level"),
+        F.lit(None).cast("string").alias("cell"),
+    )
+    turns = Window.partitionBy(key, "level").orderBy("step", "kind")
+    until = F.coalesce(F.lead("step").over(turns) - 1, F.col("last_step"))
+    return pushed.unionByName(popped).withColumn("to_step", until).filter("kind = 1").select(
+        key, "level", F.col("cell").alias("symbol"), F.col("step").alias("from_step"), "to_step"
+    )
+
+
+def rule_step_trace(attempts: DataFrame, key: str, rules: Rules) -> DataFrame:
+    """One row per step of each path: step, op, symbol, stack_after, current_state, next_state.
+
+    The stacks are spelled out, so the answer has as many symbols as all stacks together; ``rule_steps`` and
+    ``rule_stack_cells`` say the same in rows of fixed size.
+    """
+    steps = rule_steps(attempts, key, rules)
+    names = ["op", "symbol", "current_state", "next_state"]
+    cells = rule_stack_cells(steps, key).select(
+        key, F.explode(F.sequence("from_step", "to_step")).alias("step"),
+        F.struct("level", F.col("symbol").alias("cell")).alias("held"),
     )
-    steps = F.aggregate("path", start, apply, lambda acc: acc["steps"])
-    return attempts.select(key, F.posexplode(steps).alias("step", "s")).select(key, "step", "s.*")
+    rows = steps.select(key, "step", F.struct(*names).alias("said")).unionByName(cells, allowMissingColumns=True)
+    stack = F.transform(F.array_sort(F.collect_list("held")), lambda x: x["cell"])
+    found = rows.groupBy(key, "step").agg(F.first("said", ignorenulls=True).alias("said"), stack.alias("stack_after"))
+    return found.select(key, "step", "said.op", "said.symbol", "stack_after", "said.current_state", "said.next_state")

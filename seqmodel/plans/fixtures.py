@@ -232,6 +232,17 @@ TURN_RULES = [
     (4, "Ready", "END", "Z0", [], "Accept"),
 ]
 
+# Answers stay on the stack; at the end it is emptied without input, which an open question stops.
+UNWINDING_RULES = [
+    (0, "Start", None, None, ["Z0"], "Open"),
+    (1, "Open", "role=system", None, [], "Open"),
+    (2, "Open", "role=user", None, ["ASK"], "Open"),
+    (3, "Open", "role=assistant", "ASK", ["REPLY"], "Open"),
+    (4, "Open", "END", None, [], "Unwind"),
+    (5, "Unwind", None, "REPLY", [], "Unwind"),
+    (6, "Unwind", None, "Z0", [], "Accept"),
+]
+
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(

@@ -95,6 +95,15 @@ def rule_step_trace(spark, d):
     )
 
 
+def rule_unwinding(spark, d):
+    """Rules with a circle that pops without reading."""
+    rules = Rules(fx.UNWINDING_RULES, "Start", ["Accept"])
+    attempts = pushdown.rule_attempts(fx.turns(spark, d), "conv_id", ["turn"], "symbol", rules, end=fx.TURN_END)
+    return attempts.select(
+        "conv_id", "accepted", F.array_join(F.col("path").cast("array<string>"), ",").alias("path")
+    )
+
+
 def rule_table(spark, d):
     labels = fx.table(spark, d, "part").selectExpr("p_partkey as k", f"{LABEL_EXPR} as label")
     return pushdown.rule_table(labels, "label").select(
@@ -111,6 +120,7 @@ QUERIES = {
     "rule_conformance": rule_conformance,
     "rule_best_attempt": rule_best_attempt,
     "rule_step_trace": rule_step_trace,
+    "rule_unwinding": rule_unwinding,
     "rule_table": rule_table,
 }
 
@@ -135,11 +145,20 @@ _EVENTS = f"""session_events as (
          row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) - 1 as nth
   from events)"""
 
-# Breadth first over (state, position, stack, path), stack top first.
-_SEARCH = f"""with recursive rules(rule_no, state, input, pop, push, next_state) as (values
-  (0, 'Start', null, null, ['Z0'], 'Ready'), (1, 'Ready', 'role=system', null, [], 'Ready'),
+_TURN_RULES = """(0, 'Start', null, null, ['Z0'], 'Ready'), (1, 'Ready', 'role=system', null, [], 'Ready'),
   (2, 'Ready', 'role=user', null, ['ASK'], 'Waiting'), (3, 'Waiting', 'role=assistant', 'ASK', [], 'Ready'),
-  (4, 'Ready', 'END', 'Z0', [], 'Accept')),
+  (4, 'Ready', 'END', 'Z0', [], 'Accept')"""
+
+_UNWINDING_RULES = """(0, 'Start', null, null, ['Z0'], 'Open'), (1, 'Open', 'role=system', null, [], 'Open'),
+  (2, 'Open', 'role=user', null, ['ASK'], 'Open'), (3, 'Open', 'role=assistant', 'ASK', ['REPLY'], 'Open'),
+  (4, 'Open', 'END', null, [], 'Unwind'), (5, 'Unwind', null, 'REPLY', [], 'Unwind'),
+  (6, 'Unwind', null, 'Z0', [], 'Accept')"""
+
+
+def _search_sql(rules: str) -> str:
+    """Breadth first over (state, position, stack, path), stack top first."""
+    return f"""with recursive rules(rule_no, state, input, pop, push, next_state) as (values
+  {rules}),
 seqs as (
   select conv_id, list_append(list('role=' || role order by turn), '{fx.TURN_END}') as symbols
   from conversations group by conv_id),
@@ -163,6 +182,9 @@ best as (
          max(pos) as consumed
   from search group by conv_id)"""
 
+
+_SEARCH = _search_sql(_TURN_RULES)
+
 ORACLES = {
     "stack_balance": f"with {_EVENTS}, {balance_sql('session_events', 'id')}",
     "stack_balance_turns": f"""with turn_events as (
@@ -212,6 +234,8 @@ select conv_id, accepted, case when consumed = 0 then '' else array_to_string(pa
   from best where consumed > 0)
 select conv_id, step, s.op as op, s.symbol as symbol, s.after as stack_after, s.a as current_state, s.b as next_state
 from found""",
+    "rule_unwinding": f"""{_search_sql(_UNWINDING_RULES)}
+select conv_id, accepted, case when consumed = 0 then '' else array_to_string(path, ',') end as path from best""",
     "rule_table": f"""with labels as (select p_partkey as k, {LABEL_EXPR} as label from part),
 cut as (
   select k, label, regexp_extract(label, '^([^,]*),(.*?)->(.*)$', ['a', 'b', 'c']) as p,

@@ -123,10 +123,14 @@ def test_merging_and_scoring(spark):
 
 
 def naive_search(rules, start, accepting, seq):
-    """Plain breadth-first search without any merging of configurations."""
-    queue, best = deque([(start, 0, (), ())]), (0, ())
+    """Plain breadth-first search; a configuration met again is not followed again."""
+    queue, best, seen = deque([(start, 0, (), ())]), (0, ()), set()
     while queue:
         state, pos, stack, path = queue.popleft()
+        if (state, pos, stack) in seen:
+            continue
+        seen.add((state, pos, stack))
+        assert len(seen) < 100_000
         if pos > best[0]:
             best = (pos, path)
         if pos == len(seq) and state in accepting:
@@ -141,6 +145,16 @@ def naive_search(rules, start, accepting, seq):
     return False, list(best[1])
 
 
+def naive_trace(rules, path):
+    """(stack, state before, state after) of every step."""
+    stack, steps = [], []
+    for no in path:
+        _, source, _, pop, push, target = rules[no]
+        stack = (stack if pop is None else stack[:-1]) + push[::-1]
+        steps.append((stack, source, target))
+    return steps
+
+
 def random_rules(rng):
     """Input-free rules only lead to later states, so every search ends."""
     states, rules = "PQR", []
@@ -173,21 +187,104 @@ def test_rule_search(spark, monkeypatch, block, chunks, rounds):
             assert {r.id: (r.accepted, r.path) for r in found.collect()} == want
 
 
-def test_rules_that_go_round_without_input(spark):
-    """A circle of input-free steps comes to rest; a pushing one that reads nothing is an error."""
-    from seqmodel.operators.rules import frontier_rules
+def circling_rules(rng):
+    """Any input-free rules; most of them pop."""
+    rules = []
+    for no in range(rng.randrange(3, 9)):
+        inp = rng.choice(["a", "b", None, None])
+        push = [rng.choice("XY") for _ in range(rng.choice([0, 0, 1, 1, 2]))]
+        rules.append((no, rng.choice("PQR"), inp, rng.choice([None, "X", "Y"]), push, rng.choice("PQR")))
+    return rules
+
+
+def silent_runs(rules, state, stack):
+    """Steps of the shortest input-free run to each configuration."""
+    found, queue = {(state, stack): 0}, deque([(state, stack)])
+    while queue:
+        at, held = here = queue.popleft()
+        for _, source, inp, pop, push, target in rules:
+            if inp is None and source == at and (pop is None or held[-1:] == (pop,)):
+                then = (target, (held if pop is None else held[:-1]) + tuple(reversed(push)))
+                if then not in found:
+                    found[then] = found[here] + 1
+                    queue.append(then)
+        assert len(found) < 20_000
+    return found
+
+
+def test_bound_of_runs_without_input():
+    """Tables that pass have finite runs, no longer than the bound; from stacks that reading can bring about."""
+    rng, passed, refused = random.Random(3), 0, 0
+    for _ in range(1500):
+        rows = circling_rules(rng)
+        rules = Rules(rows, "P", ["R"])
+        try:
+            most, per_cell = rules.silent_bound()
+        except ValueError:
+            refused += 1
+            continue
+        passed += rules.empty_chain() is None
+        frontier = {("P", ())}
+        for _ in range(4):
+            after = set()
+            for state, stack in frontier:
+                runs = silent_runs(rows, state, stack)
+                assert max(runs.values()) < most + per_cell * len(stack)
+                for at, held in runs:
+                    for _, source, inp, pop, push, target in rows:
+                        if inp is not None and source == at and (pop is None or held[-1:] == (pop,)):
+                            after.add((target, (held if pop is None else held[:-1]) + tuple(reversed(push))))
+            frontier = set(sorted(after)[:20])
+    assert passed > 100 and refused > 100
+
 
-    rows = [(0, "P", None, None, [], "Q"), (1, "Q", None, None, [], "P"), (2, "Q", "a", None, [], "R")]
-    rules = Rules.of(spark.createDataFrame(rows, RULE_TYPE), "P", ["R"])
-    events = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "id int, i int, symbol string")
-    found = rule_attempts(events, "id", ["i"], "symbol", rules)
-    assert {r.id: (r.accepted, r.path) for r in found.collect()} == {1: (True, [0, 2]), 2: (False, [])}
-    pushing = Rules.of(
-        spark.createDataFrame([(0, "P", None, None, ["X"], "P"), (1, "P", "a", "X", [], "R")], RULE_TYPE),
-        "P", ["R"],
+@pytest.mark.parametrize("rows", [
+    [(0, "P", None, None, ["X"], "P")],
+    [(0, "P", None, None, ["X"], "Q"), (1, "Q", None, "X", ["X", "X"], "P"), (2, "P", None, "X", ["X"], "Q")],
+    [(0, "P", "a", None, ["S"], "Q"), (1, "Q", None, "S", ["S", "X"], "Q")],
+])
+def test_rules_that_push_for_ever_are_refused(spark, rows):
+    events = spark.createDataFrame([(1, 0, "a")], "id int, i int, symbol string")
+    with pytest.raises(ValueError, match="without end"):
+        rule_attempts(events, "id", ["i"], "symbol", Rules(rows, "P", ["Q"]))
+
+
+@pytest.mark.parametrize("rows", [
+    # a circle that changes nothing
+    [(0, "P", None, None, [], "Q"), (1, "Q", None, None, [], "P"), (2, "Q", "a", None, [], "R")],
+    # a circle that empties the stack
+    [(0, "P", None, None, ["Z"], "Q"), (1, "Q", "a", None, ["X"], "Q"), (2, "Q", None, None, [], "R"),
+     (3, "R", None, "X", [], "R"), (4, "R", "b", "Z", [], "P"), (5, "R", "b", "X", ["X", "X"], "R")],
+    # expansion of the top symbol: S -> a S b, S -> a b
+    [(0, "P", None, None, ["S"], "R"), (1, "R", None, "S", ["a", "S", "b"], "R"), (2, "R", None, "S", ["a", "b"], "R"),
+     (3, "R", "a", "a", [], "R"), (4, "R", "b", "b", [], "R")],
+    # a symbol pushed and popped again
+    [(0, "P", None, None, ["X"], "Q"), (1, "Q", None, "X", [], "P"), (2, "Q", "a", None, [], "P"), (3, "P", "b", "X", [], "R")],
+])
+def test_rules_that_go_round_without_input(spark, rows):
+    rng = random.Random(len(rows))
+    rules = Rules(rows, "P", ["R"])
+    seqs = {i: [rng.choice("aab") for _ in range(rng.randrange(1, 7))] for i in range(20)}
+    seqs |= {20: list("aabb"), 21: list("aaab"), 22: list("ab")}
+    events = spark.createDataFrame(
+        [(k, i, s) for k, seq in seqs.items() for i, s in enumerate(seq)], "id int, i int, symbol string"
     )
-    placed = events.withColumnRenamed("i", "pos")
-    found = frontier_rules(placed.filter("id = 1"), "id", pushing, max_rounds=5)
-    assert {r.id: (r.accepted, r.path) for r in found.collect()} == {1: (True, [0, 1])}
-    with pytest.raises(RuntimeError, match="no verdict"):
-        frontier_rules(placed, "id", pushing, max_rounds=5)
+    want = {k: naive_search(rows, "P", {"R"}, seq) for k, seq in seqs.items()}
+    for chunk_events in (100, 3):
+        found = rule_attempts(events, "id", ["i"], "symbol", rules, chunk_events=chunk_events)
+        assert {r.id: (r.accepted, r.path) for r in found.collect()} == want
+    steps = {}
+    for r in pushdown.rule_step_trace(found, "id", rules).orderBy("id", "step").collect():
+        steps.setdefault(r.id, []).append((r.stack_after, r.current_state, r.next_state))
+    assert steps == {k: naive_trace(rows, path) for k, (_, path) in want.items() if path}
+
+
+def test_trace_rows_of_a_long_run(spark):
+    """Cells and steps of a deep stack have fixed size: as many rows as steps and pushes."""
+    rows = [(0, "P", "a", None, ["X"], "P"), (1, "P", "b", "X", [], "P")]
+    attempts = spark.createDataFrame([(1, [0] * 20_000 + [1] * 20_000), (2, []), (None, [0, 1])], "id int, path array<int>")
+    steps = pushdown.rule_steps(attempts, "id", Rules(rows, "P", ["P"]))
+    assert steps.count() == 40_002
+    cells = {r[0]: r for r in pushdown.rule_stack_cells(steps, "id").filter("id = 1").select("level", "from_step", "to_step").collect()}
+    assert len(cells) == 20_000
+    assert all(r.from_step == level - 1 and r.to_step == 39_999 - level for level, r in cells.items())
