@@ -21,6 +21,7 @@ from seqmodel.functions.text import (
     is_positive_label, leading_number, record_symbols, split_fields,
 )
 from seqmodel.operators.ordered import ordered
+from seqmodel.sources.scratch import written
 
 # Column names and the symbol prefix of each feature column, in symbol order.
 LABEL = "label"
@@ -28,6 +29,8 @@ FEATURES = (("proto", "proto="), ("conn_state", "state="), ("service", "service=
 TEXT_COLUMNS = (("host", "id.orig_h"), ("resp_host", "id.resp_h"), ("uid", "uid"))
 TIME = "ts"
 
+BLOCK = "split_start"
+
 # Drawn anew in each process, so that no line holds it.
 _NEVER = f"\u0001{uuid.uuid4().hex}\u0001"
 
@@ -84,7 +87,7 @@ def reaches_label(layout: Layout, label: str = LABEL) -> Column:
 
 
 def parse_lines(lines: DataFrame, header: str) -> DataFrame:
-    """(source, value) lines of one header to labelled sequences."""
+    """(source, value) lines of one header to labelled sequences; ``split_start`` stays where there is one."""
     layout = Layout.of(header)
     rows = with_fields(data_lines(lines), layout).filter(reaches_label(layout))
     cell = lambda name: layout.field(F.col("fields"), name)
@@ -96,6 +99,7 @@ def parse_lines(lines: DataFrame, header: str) -> DataFrame:
         record_symbols([(cell(name), prefix) for name, prefix in FEATURES]).alias("symbols"),
         is_positive_label(cell(LABEL)).alias("label"),
         F.col("source"),
+        *[c for c in lines.columns if c == BLOCK],
     )
 
 
@@ -113,18 +117,42 @@ def line_id(source: Column, line: Column, uid: Column | None = None) -> Column:
     return F.when(uid.isNotNull() & ~uid.isin("", "-"), uid).otherwise(digest)
 
 
-def unique_ids(rows: DataFrame, id_column: str = "id", limit: int | None = None) -> DataFrame:
-    """Give the n-th row of equal ids the suffix `#n` (n >= 2), so that ids tell rows apart."""
-    marked = rows.withColumn("__row", F.monotonically_increasing_id())
-    ranked = ordered(marked, [id_column], ["__row"], limit).running_sum(F.lit(1), "__copy").rows()
+def unique_ids(rows: DataFrame, id_column: str = "id", limit: int | None = None,
+               order: tuple[str, ...] = ()) -> DataFrame:
+    """Give the n-th row of equal ids the suffix `#n` (n >= 2), so that ids tell rows apart.
+
+    Rows count by ``order`` and then by their place in a split: with (file, start of the split) that is the place in
+    the file, however the files are split. Only hashes of the ids and rows of repeated ids are shuffled.
+    """
+    key = F.xxhash64(id_column)
+    repeated = rows.groupBy(key.alias("__key")).count().filter("count > 1").select("__key")
+    repeated = written(repeated, "repeated", lookup=True)
+    if repeated.isEmpty():
+        return rows
+    marked = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", key)
+    several = marked.join(repeated, "__key", "left_semi").drop("__key")
+    ranked = ordered(several, [id_column], [*order, "__row"], limit).running_sum(F.lit(1), "__copy").rows()
     suffix = F.concat(F.col(id_column), F.lit("#"), F.col("__copy").cast("string"))
-    return ranked.withColumn(
-        id_column, F.when(F.col("__copy") > 1, suffix).otherwise(F.col(id_column))
-    ).drop("__row", "__copy")
+    named = ranked.withColumn(id_column, F.when(F.col("__copy") > 1, suffix).otherwise(F.col(id_column)))
+    return marked.join(repeated, "__key", "left_anti").select(rows.columns).unionByName(named.select(rows.columns))
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` as ``read_lines`` returns them with ``line_no``, 1, 2, ... within each file, however it is split.
+
+    Lines are counted per split and the counts summed along the file; a line adds its place in the split. No line is
+    shuffled while the counts, a row per split, are small enough to be sent to the tasks.
+    """
+    placed = lines.withColumn("__row", F.monotonically_increasing_id())
+    counts = placed.groupBy("source", BLOCK).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    before = ordered(counts, ["source"], [BLOCK]).running_sum(F.col("__lines"), "__before", inclusive=False).rows()
+    starts = written(before.select("source", BLOCK, (F.col("__before") - F.col("__first")).alias("__shift")), "splits", lookup=True)
+    number = F.col("__row") + F.col("__shift") + 1
+    return placed.join(starts, ["source", BLOCK]).select(*lines.columns, number.alias("line_no"))
 
 
 def read_lines(spark: SparkSession, paths: list[str], comments: bool = True) -> DataFrame:
-    """(source, value): the lines of the files without header, comments and blank lines.
+    """(source, split_start, value): the lines of the files without header, comments and blank lines.
 
     The CSV reader drops exactly the first such line of each file, whatever the splits. With a
     delimiter and quote that never occur it leaves the lines whole.
@@ -134,7 +162,7 @@ def read_lines(spark: SparkSession, paths: list[str], comments: bool = True) ->
         .options(sep=_NEVER, quote="", comment="#" if comments else "", lineSep="\n", header=True,
                  recursiveFileLookup=True)
         .csv(paths)
-        .select(F.col("_metadata.file_path").alias("source"), "value")
+        .select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias(BLOCK), "value")
         .filter(F.col("value").isNotNull())
     )
 
@@ -162,13 +190,11 @@ def first_lines(spark: SparkSession, files: list[str], any_line: bool = False) -
 def read_conn_log(spark: SparkSession, paths: list[str], header: str | None = None) -> DataFrame:
     """Labelled sequences of all files. Files without data lines add nothing; all empty is an error."""
     if header is not None:
-        return some_rows(unique_ids(parse_lines(read_lines(spark, paths), header)))
-    headers = first_lines(spark, files_of(spark, paths))
-    if not headers:
-        raise ValueError("no sequences in any input")
-    return some_rows(unique_ids(union_inputs(
-        [parse_lines(read_lines(spark, files), head) for head, files in headers.items()]
-    )))
+        rows = parse_lines(read_lines(spark, paths), header)
+    else:
+        headers = first_lines(spark, files_of(spark, paths))
+        rows = union_inputs([parse_lines(read_lines(spark, files), head) for head, files in headers.items()])
+    return some_rows(unique_ids(rows, order=("source", BLOCK)).drop(BLOCK))
 
 
 def some_rows(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from seqmodel.functions.text import NO_SYMBOL
 from seqmodel.operators import score
 from seqmodel.operators.automaton import Model
-from seqmodel.sources.conn_log import read_conn_log, read_lines
+from seqmodel.sources.conn_log import numbered_lines, read_conn_log, read_lines
 from seqmodel.sources.model_store import load_model, save_model
 from seqmodel.sources.wide_table import read_wide_table
 
@@ -70,6 +70,28 @@ def test_header_once_per_file_with_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_ids_and_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    lines = [f"C{i % 700},p{i},true" for i in range(3000)]
+    big = write(tmp_path, "big.csv", "\n".join(["#", "uid,proto,label", *lines]) + "\n")
+    small = write(tmp_path, "small.csv", "uid,proto,label\nC1,q,true\n-,q,true\n-,q,true\n")
+    name = "spark.sql.files.maxPartitionBytes"
+    before, found, numbers = spark.conf.get(name), [], []
+    try:
+        for size in ("4096", "9000", before):
+            spark.conf.set(name, size)
+            rows = read_conn_log(spark, [big, small])
+            found.append({r.id: r.symbols for r in rows.collect()})
+            assert rows.count() == len(found[-1]) == 3003
+            read = numbered_lines(read_lines(spark, [big, small])).collect()
+            numbers.append({(r.source, r.line_no): r.value for r in read})
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1] == found[2] and numbers[0] == numbers[1] == numbers[2]
+    assert found[0]["C5#2"] == ["proto=p705"] and found[0]["C1#6"] == ["proto=q"]
+    by_line = {n: v for (source, n), v in numbers[0].items() if source.endswith("big.csv")}
+    assert by_line == {i + 1: line for i, line in enumerate(lines)}
+
+
 def test_missing_label_and_no_data(spark, tmp_path):
     with pytest.raises(ValueError, match="label"):
         read_conn_log(spark, [write(tmp_path, "a.csv", "proto,kind\ntcp,x\n")])
