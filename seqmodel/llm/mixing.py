@@ -18,12 +18,13 @@ _PASSES = 8
 class Mixture:
     """``entropy``: share of the largest entropy, log of the number of sources, that the weights shall reach.
     ``repeats``: the most times any source may be read on average; it goes before the entropy.
-    ``budget``: tokens to hand out, as a multiple of all tokens. ``block_tokens``: aim for the size of a block.
+    ``budget``: tokens to hand out, as a multiple of all tokens; None is as many as it takes to read every document
+    at least once, whatever the weight of its source. ``block_tokens``: aim for the size of a block.
     """
 
     entropy: float = 0.98
     repeats: float = 4.0
-    budget: float = 1.0
+    budget: float | None = 1.0
     block_tokens: int = 65_536
     seed: int = 7
 
@@ -38,16 +39,18 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def _bent(sources: DataFrame, exponents: list[float], total: int, budget: float) -> dict[float, tuple[float, float]]:
+def _bent(sources: DataFrame, exponents: list[float], total: int, how: Mixture) -> dict[float, tuple[float, float]]:
     """(entropy, most repeats) of the weights at each exponent, by one sum over the sources."""
     log = F.col("e") * F.log(F.col("tokens") / F.lit(float(total)))
     rows = (
         sources.select("tokens", F.explode(F.array(*[F.lit(e) for e in exponents])).alias("e"))
         .select("e", log.alias("l"), F.exp(log).alias("w"), "tokens")
-        .groupBy("e").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.col("l")).alias("a"), F.max(F.col("w") / F.col("tokens")).alias("m"))
+        .groupBy("e").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.col("l")).alias("a"), F.max(F.col("w") / F.col("tokens")).alias("m"),
+             F.max(F.col("tokens") / F.col("w")).alias("x"))
         .collect()
     )
-    return {r["e"]: (math.log(r["z"]) - r["a"] / r["z"], r["m"] * budget / r["z"]) for r in rows}
+    handed = {r["e"]: r["x"] * r["z"] if how.budget is None else how.budget * total for r in rows}
+    return {r["e"]: (math.log(r["z"]) - r["a"] / r["z"], r["m"] * handed[r["e"]] / r["z"]) for r in rows}
 
 
 def exponent(sources: DataFrame, how: Mixture) -> tuple[float, float, int]:
@@ -61,22 +64,22 @@ def exponent(sources: DataFrame, how: Mixture) -> tuple[float, float, int]:
     total = int(row["t"] or 0)
     if not total:
         return 1.0, 1.0, 0
-    budget, aim = how.budget * total, how.entropy * math.log(row["n"])
+    aim = how.entropy * math.log(row["n"])
 
     def bisect(good) -> float:
         """The border between exponents where ``good`` holds, below, and where it doesn't."""
         low, high = 0.0, 1.0
         for _ in range(_PASSES):
             inner = [low + (high - low) * k / 2**_LEVELS for k in range(1, 2**_LEVELS)]
-            seen = _bent(sources, inner, total, budget)
+            seen = _bent(sources, inner, total, how)
             low, high = max([low, *[e for e in inner if good(*seen[e])]]), min([high, *[e for e in inner if not good(*seen[e])]])
         return low
 
-    ends = _bent(sources, [0.0, 1.0], total, budget)
+    ends = _bent(sources, [0.0, 1.0], total, how)
     bent = 1.0 if ends[1.0][0] >= aim - 1e-9 else bisect(lambda h, r: h >= aim)
     if ends[1.0][1] > how.repeats:
         bent = 1.0
-    elif _bent(sources, [bent], total, budget)[bent][1] > how.repeats:
+    elif _bent(sources, [bent], total, how)[bent][1] > how.repeats:
         bent = bisect(lambda h, r: r > how.repeats) + 2.0 ** -(_LEVELS * _PASSES)
     bent = min(1.0, round(bent, 8))
     z = sources.agg(F.sum(F.exp(bent * F.log(F.col("tokens") / F.lit(float(total)))))).first()[0]
@@ -103,9 +106,12 @@ def plan(docs: DataFrame, how: Mixture, id_col: str, text_col: str, source_col:
     sources = written(slim.groupBy("key").agg(F.sum("cost").alias("tokens")), "mix-sources", lookup=True)
     bent, z, total = exponent(sources, how)
     weight = F.exp(bent * F.log(F.col("tokens") / F.lit(float(max(total, 1))))) / z
-    target = F.round(weight * (how.budget * total)).cast("long")
+    weighed = sources.withColumn("weight", weight)
+    target = F.round(F.col("weight") * (how.budget * total if how.budget is not None else _whole(weighed))).cast("long")
+    if how.budget is None:
+        target = F.greatest(target, F.col("tokens"))
     table = written(
-        sources.withColumn("weight", weight).withColumn("target", target)
+        weighed.withColumn("target", target)
         .withColumn("blocks", F.ceil(F.col("tokens") / how.block_tokens).cast("long"))
         .withColumn("passes", F.floor(F.col("target") / F.col("tokens")).cast("long"))
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("tokens")).withColumn("exponent", F.lit(bent)),
@@ -139,6 +145,11 @@ def plan(docs: DataFrame, how: Mixture, id_col: str, text_col: str, source_col:
     return written(table.join(at_cut.select("key", "cut"), "key", "left").join(ends, "key", "left"), "mix-plan", lookup=True)
 
 
+def _whole(weighed: DataFrame) -> float:
+    """Tokens to hand out so that each source gets all its own at least."""
+    return weighed.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0
+
+
 def _doc_hash(doc: Column, text: Column, how: Mixture) -> Column:
     return F.xxhash64(F.lit(how.seed), doc, text)
 
@@ -162,7 +173,7 @@ def mixed(
 
     Sorted by (block_order, doc_order) they are the training order: every pass over a source is a permutation of its
     blocks, blocks of all sources interleave, and the documents of a block are permuted too. A source gets its
-    weight times the budget in tokens, less than one document short. Which rows are read is decided in the row from
+    weight times the budget in tokens, less than one document short; without a budget no document is left out. Which rows are read is decided in the row from
     the table of sources; equal rows (same id, text and source) are read equally often. A null source is a
     source; null ids and texts are hashed like values. An empty table gives an empty table. Columns named like the
     three new ones are replaced.

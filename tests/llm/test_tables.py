@@ -139,6 +139,36 @@ def test_mixture_meets_its_targets(spark):
         assert all(len(b) == 1 for b in blocks.values())
 
 
+def test_mixture_without_a_budget_reads_every_document(spark):
+    """One of 20 sources holds a third of the words: its weight is below its share, yet all of it is read."""
+    rows = [(i, "a b c d e f g h i j", "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(1900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for repeats, fewest in ((4.0, 1.5), (1.5, 1.0)):
+        how = mixing.Mixture(budget=None, repeats=repeats, block_tokens=300)
+        got = mixing.mixed(docs, how).collect()
+        times = Counter(r.doc_id for r in got)
+        assert set(times) == {r[0] for r in rows} and len({(r.doc_id, r.epoch) for r in got}) == len(got)
+        read, size = Counter(r.source for r in got), Counter(r[2] for r in rows)
+        assert read["hot"] == size["hot"]
+        most = max(read[s] / size[s] for s in size)
+        assert fewest < most <= repeats + 0.02
+        # weights follow shares to one exponent, in the least unequal way that is allowed
+        plan = {r.key[1:]: r for r in mixing.plan(docs, how, "doc_id", "text", "source").collect()}
+        bent = {s: (size[s] / 1900) ** plan[s].exponent for s in size}
+        assert all(abs(plan[s].weight - bent[s] / sum(bent.values())) < 1e-9 for s in size)
+        assert plan["hot"].exponent < 1
+
+
+def test_query_of_mixing_bends_shares(spark):
+    """The parts of the given tables are unequal, so the query's weights come from the bisection."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    part = docs.withColumn("part", F.to_json(F.struct("source", "lang")))
+    plan = mixing.plan(part, mixing.Mixture(), "doc_id", "text", "part").collect()
+    assert plan[0].exponent < 0.9
+    want = mixing.mixed(part, source_col="part").count()
+    assert queries.op6_source_mixing(spark, "/root/testdata/sf0.001").count() == want
+
+
 def test_mixture_of_odd_rows(spark):
     rng = random.Random(7)
     texts = cases.odd_texts(rng)
