@@ -66,8 +66,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every time a document is read, with its place in the training order."""
-    return mixing.mixed(docs.select(COLUMNS))
+    """A row for every time a document is read, with its place in the training order; each is read at least once."""
+    return mixing.mixed(docs.select(COLUMNS), mixing.Mixture(budget=None))
 
 
 STAGES = [
