@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqmodel.functions.text import (
     is_positive_label, leading_number, record_symbols, symbols_from_blanks, symbols_from_commas,
 )
-from seqmodel.operators.sessions import DIGEST_DIGITS, session_digests, session_gap_sequences
+from seqmodel.operators.sessions import session_gap_sequences, session_md5s
 from seqmodel.plans import fixtures as fx
 from seqmodel.sources import conn_log
 from seqmodel.sources.conn_log import Layout
@@ -81,8 +81,8 @@ def ingest_wide_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sessions_by_type(spark: SparkSession, d: str) -> DataFrame:
-    """Long sessions: one per event type."""
-    return session_digests(
+    """Long sessions: one per event type, each with the md5 of its whole text."""
+    return session_md5s(
         fx.table(spark, d, "events"), ["event_type"], ["ts", "event_id"],
         F.concat(F.lit("user="), F.pmod("user_id", F.lit(10)).cast("string")), F.max("event_id") % 2 == 0,
     )
@@ -244,11 +244,9 @@ select k, uid, host, proto, service, conn_state, label_text from bound""",
 select k, value from bound where len(fields) < label_at""",
     "ingest_wide_table": f"""with {fx.wide_sql()}
 select cast(id as varchar) as id, array_to_string(symbols, '|') as symbols, label from wide""",
-    "sessions_by_type": f"""with placed as (
-  select *, row_number() over (partition by event_type order by ts, event_id) - 1 as pos from events)
-select event_type as id, count(*) as n, max(event_id) % 2 = 0 as label,
-       bit_xor(('0x' || md5(pos || ':=user=' || user_id % 10)[:{DIGEST_DIGITS}])::bigint) as digest
-from placed group by event_type""",
+    "sessions_by_type": """select event_type as id, count(*) as n,
+       md5(string_agg('user=' || user_id % 10, '|' order by ts, event_id)) as symbols,
+       max(event_id) % 2 = 0 as label from events group by event_type""",
     "ingest_malformed_split": f"""with recursive {fx.BOUND_SQL}
 select k, len(fields) < label_at as rejected from bound""",
     "label_normalize": f"with recursive {fx.BOUND_SQL} select k, label_text, label from rows_ok",

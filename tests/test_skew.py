@@ -86,6 +86,46 @@ def test_digests_need_no_python_and_hold_no_session(spark):
     assert [(r.id, r.n, r.label) for r in found.collect()] == [("k", 50_000, True)]
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 512, 10**6])
+def test_md5s_of_whole_sessions(events, chunk):
+    """Whatever the chunk and the segments, ties and null symbols and keys too, it is the md5 of the whole joined text."""
+    symbol = F.when(F.col("symbol") != "other", F.col("symbol"))
+    want = set()
+    for r in sessions.session_sequences(events, ["key"], ["ts"], symbol, F.max("value") > 90).collect():
+        text = "|".join(s for s in r.symbols if s is not None)
+        want.add((r.id, len(r.symbols), hashlib.md5(text.encode()).hexdigest() if text else None, r.label))
+    for limit in (LIMIT, 10**6):
+        got = sessions.session_md5s(events, ["key"], ["ts"], symbol, F.max("value") > 90, limit, chunk).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_md5s_take_every_event_and_hold_no_session_in_a_row(spark, monkeypatch):
+    rows = spark.range(50_000).select(F.lit("k").alias("k"), "id", F.when(F.col("id") != 7, F.lit("s")).alias("symbol"))
+    rows = rows.union(spark.sql("select 'none' as k, 0L as id, cast(null as string) as symbol"))
+    seen, real = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, *a, **k: (seen.append(df), real(df, *a, **k))[1])
+    got = sessions.session_md5s(rows, ["k"], ["id"], F.col("symbol"), F.max("id") > 5, limit=9000).collect()
+    want = hashlib.md5(b"|".join([b"s"] * 49_999)).hexdigest()
+    assert {tuple(r) for r in got} == {("k", 50_000, want, True), ("none", 1, None, False)}
+    assert seen[0].select(F.max(F.length("__text"))).first()[0] < 2 * sessions.CHUNK_EVENTS
+
+
+def test_sessions_by_type_is_the_md5_of_all_events(spark, tmp_path):
+    """The SQL twin, too, hashes the whole text of a session."""
+    duckdb = pytest.importorskip("duckdb")
+    from seqmodel.plans import ingest_queries
+
+    rows = [(i, i % 7, "ab"[i % 2], i // 3) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, t long")
+    frame.select("event_id", "user_id", "event_type", F.timestamp_seconds("t").alias("ts"), F.lit(1.0).alias("value")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = {(k, 1000, hashlib.md5("|".join(f"user={u}" for i, u, t, _ in rows if t == k).encode()).hexdigest(), k == "a") for k in "ab"}
+    got = ingest_queries.QUERIES["sessions_by_type"](spark, str(tmp_path)).select("id", "n", "symbols", "label").collect()
+    assert {tuple(r) for r in got} == want
+    db = duckdb.connect()
+    db.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert set(db.execute(f"select id, n, symbols, label from ({ingest_queries.ORACLES['sessions_by_type']})").fetchall()) == want
+
+
 def test_long_session_has_one_label_and_takes_linear_time(spark):
     def seconds(n):
         rows = spark.range(n).select(F.lit(1).alias("k"), "id", F.concat(F.lit("s"), F.col("id") % 7).alias("symbol"))
