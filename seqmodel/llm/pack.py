@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -13,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqmodel.llm.ragged import slices
+from seqmodel.llm.ragged import _BYTE, _ODD, mix, slices, utf8
 from seqmodel.llm.token_count import _NOT_PLAIN, _PLAIN, BytePairs
 from seqmodel.sources.scratch import written
 
@@ -21,7 +23,20 @@ from seqmodel.sources.scratch import written
 REMEMBERED = 400_000
 #: Pieces that are widened and placed at once: 16 MB of ids at most in windows of 2048.
 PLACED_ROWS = 2_000
+#: Texts of at most so many bytes are cut and looked up in blocks of about as many, as arrays; longer ones one by one.
+BLOCK_BYTES = 1 << 19
 _WIDTH = 4
+# Pre-tokens of more bytes are told apart by a cryptographic hash, shorter ones by a polynomial of their bytes.
+_LONG = 64
+_LETTER, _DIGIT, _SIGN, _SPACE = range(4)
+# Classes of the bytes of plain texts, in which every byte above 127 is part of a letter, and bytes that are in no plain text.
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[[9, 10, 13, 32]] = _SPACE
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[*range(32), 127, 0xC0, 0xC1, 0xC2, *range(0xCB, 256)]] = True
+_ODD_BYTE[[9, 10, 13]] = False
 # Above any rank within a length, so that (length, rank) fits one number.
 _RANKS = 1 << 48
 
@@ -39,21 +54,87 @@ class Packing:
     rounds: int = 200
 
 
+def plain_rows(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts have only printable ASCII, tabs, line ends and letters U+00C0-U+02AF, as the pattern of plain texts expects."""
+    odd = _ODD_BYTE[flat]
+    high = np.flatnonzero(flat[:-1] >= 0xC3)
+    lead, follow = flat[high], flat[high + 1]
+    odd[high[((lead == 0xC3) & ((follow == 0x97) | (follow == 0xB7))) | ((lead == 0xCA) & (follow >= 0xB0))]] = True
+    return ~_hit(np.flatnonzero(odd), at)
+
+
+def _hit(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which texts hold one of these bytes."""
+    out = np.zeros(len(at) - 1, bool)
+    out[np.searchsorted(at, places, side="right") - 1] = True
+    return out
+
+
+def pretokens(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """First bytes of the pre-tokens of plain texts, as the vocabulary's pattern cuts them.
+
+    A run of blanks before something else gives its last character away: a space goes with what follows, another blank
+    stands alone. Letters, digits and other signs are cut where they meet. A contraction counts where its apostrophe begins a
+    pre-token.
+    """
+    n = len(flat)
+    kind = _CLASS[flat]
+    first = np.zeros(n + 3, bool)  # of a text; what follows the last text counts as one
+    first[at] = True
+    blank = kind == _SPACE
+    begins = first[:n].copy()
+    begins[1:] |= (kind[1:] != kind[:-1]) & (flat[:-1] != 32)
+    # after a space: only blanks begin nothing, and what follows goes with the space
+    last = blank.copy()
+    last[:-1] &= ~blank[1:]
+    last &= ~first[1 : n + 1]
+    begins |= last
+    begins[1:] |= blank[1:] & ~blank[:-1]
+    quote = np.flatnonzero((flat == 39) & begins)
+    padded = np.concatenate((flat, np.zeros(3, np.uint8)))
+    one, two = padded[quote + 1], padded[quote + 2]
+    same, longer = ~first[quote + 1], ~first[quote + 1] & ~first[quote + 2]
+    short = same & ((one == 115) | (one == 116) | (one == 109) | (one == 100))
+    long = longer & (((two == 101) & ((one == 114) | (one == 118))) | ((one == 108) & (two == 108)))
+    for hits, size in ((quote[short], 2), (quote[long], 3)):
+        begins[hits + 1] = False
+        after = hits + size
+        begins[after[after < n]] = True
+    return np.flatnonzero(begins)
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * BLOCK_BYTES, base, np.uint64))))
+
+
 class TokenIds(BytePairs):
     """Ids of whole texts as the library gives them, by merging each different pre-token once."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        spec = json.loads(open(path, encoding="utf-8").read())
+        spec = self.spec
         self.kind = np.dtype("<u2" if self.width <= 1 << 16 else "<u4")
         self.fixed = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in spec.get("added_tokens", [])}
         self.ids: dict[str, bytes] = dict(self.fixed)
+        self.special_bytes = re.compile(b"|".join(re.escape(c.encode()) for c in self.fixed)) if self.fixed else None
+        self.up, self.down = _powers(int(_ODD)), _powers(pow(int(_ODD), -1, 1 << 64))
+        self._forget()
 
-    def _merged(self, tokens: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        """Empties the table of pre-tokens of plain texts: sorted hashes with their places, place to the ids' first and number, ids."""
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.sizes, self.table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def _surviving(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all byte strings end to end, number of ids of each)."""
         ends: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes = self.merged_lengths([t.encode() for t in tokens], ends)
+        sizes = self.merged_lengths(tokens, ends)
         owner, symbols = (np.concatenate(x) for x in zip(*ends, strict=True))
-        flat = symbols[np.argsort(owner, kind="stable")].astype(self.kind).tobytes()
+        return symbols[np.argsort(owner, kind="stable")].astype(self.kind), sizes
+
+    def _merged(self, tokens: list[str]) -> list[bytes]:
+        ids, sizes = self._surviving([t.encode() for t in tokens])
+        flat = ids.tobytes()
         at = np.concatenate(([0], np.cumsum(sizes))) * self.kind.itemsize
         return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
@@ -78,6 +159,68 @@ class TokenIds(BytePairs):
         get = self.ids.__getitem__
         return [b"".join(map(get, found)) for found in parts]
 
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the remembered ones of sorted ``hashes``, -1 for others."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.places[at], -1)
+
+    def _of_plain(self, flat: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """As ``of``, for a block of plain texts without special strings."""
+        if not len(flat):
+            return [b""] * (len(at) - 1)
+        starts = pretokens(flat, at)
+        ends = np.concatenate((starts[1:], [len(flat)]))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * self.up[: len(flat)])))
+        size = ends - starts
+        hashed = mix((sums[ends] - sums[starts]) * self.down[starts] ^ (size.astype(np.uint64) << np.uint64(40)))
+        raw = flat.tobytes()
+        for i in np.flatnonzero(size > _LONG).tolist():
+            hashed[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        distinct, seen, which = np.unique(hashed, return_index=True, return_inverse=True)
+        place = self._known(distinct)
+        if (place < 0).any() and len(self.hashes) + (place < 0).sum() > REMEMBERED:
+            self._forget()
+            place = self._known(distinct)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            at_new = seen[new]
+            ids, sizes = self._surviving([raw[a:b] for a, b in zip(starts[at_new].tolist(), ends[at_new].tolist(), strict=True)])
+            place[new] = np.arange(len(new)) + len(self.sizes)
+            into = np.searchsorted(self.hashes, distinct[new])
+            self.hashes, self.places = np.insert(self.hashes, into, distinct[new]), np.insert(self.places, into, place[new])
+            self.first = np.concatenate((self.first, len(self.table) + np.cumsum(sizes) - sizes))
+            self.sizes, self.table = np.concatenate((self.sizes, sizes)), np.concatenate((self.table, ids))
+        place = place[which]
+        many = self.sizes[place]
+        until = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))
+        ids = self.table[np.repeat(self.first[place] - until[:-1], many) + np.arange(until[-1])].tobytes()
+        cuts = (until[np.searchsorted(starts, at)] * self.kind.itemsize).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def of_column(self, column: pa.Array) -> list[bytes]:
+        """As ``of``. Plain texts are cut, looked up and put together as arrays, block by block."""
+        flat, at = utf8(column)
+        sizes = np.diff(at)
+        easy = plain_rows(flat, at) & (sizes <= BLOCK_BYTES)
+        if self.special_bytes:
+            easy &= ~_hit(np.array([m.start() for m in self.special_bytes.finditer(flat.tobytes())], np.int64), at)
+        out: list[bytes] = [b""] * len(sizes)
+        rest = np.flatnonzero(~easy)
+        if len(rest):
+            for i, ids in zip(rest.tolist(), self.of(column.take(pa.array(rest)).to_pylist()), strict=True):
+                out[i] = ids
+        rows = np.flatnonzero(easy)
+        flat, at = (flat, at) if not len(rest) else utf8(column.take(pa.array(rows)))
+        group = (at[1:] - 1) // BLOCK_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(rows)] if len(rows) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            found = self._of_plain(flat[at[a] : at[b]], at[a : b + 1] - at[a])
+            for i, ids in zip(rows[a:b].tolist(), found, strict=True):
+                out[i] = ids
+        return out
+
 
 _LOADED: dict[str, TokenIds] = {}
 
@@ -105,7 +248,7 @@ def pieces(df: DataFrame, path: str, how: Packing, id_col: str, text_col: str) -
         for batch in batches:
             for rows in slices(batch, text_col):
                 whose, starts, lengths, totals, nth, found = [], [], [], [], [], []
-                for i, ids in enumerate(known.of(rows.column(text_col).to_pylist())):
+                for i, ids in enumerate(known.of_column(rows.column(text_col))):
                     ids += end
                     for at in range(0, len(ids), how.size * width):
                         piece = ids[at : at + how.size * width]
@@ -170,7 +313,8 @@ def repeats(lengths: np.ndarray, times: np.ndarray, counts: np.ndarray, how: Pac
     share = times / norm[:, None]
     flat = lengths.ravel()
     used = lambda y: np.bincount(flat, (share * y[:, None]).ravel(), how.size + 1)
-    back = lambda r: (share * r[lengths]).sum(1)
+    columns = [(np.ascontiguousarray(share[:, k]), np.ascontiguousarray(lengths[:, k])) for k in range(lengths.shape[1])]
+    back = lambda r: sum(a * r.take(n) for a, n in columns)
     probe = np.ones(len(lengths))
     for _ in range(20):
         probe = back(used(probe))
@@ -211,19 +355,20 @@ class Plan:
         if len(lengths):
             wanted = repeats(lengths, times, counts, how)
             order = np.argsort(-wanted, kind="stable")
-            recipes = [[(n, t) for n, t in zip(a, b, strict=True) if t] for a, b in zip(lengths[order].tolist(), times[order].tolist(), strict=True)]
+            lengths, times, wanted = lengths[order], times[order], wanted[order]
+            recipe = lambda p: [(n, t) for n, t in zip(lengths[p].tolist(), times[p].tolist(), strict=True) if t]
             taken = np.zeros(len(order), np.int64)
             # rounded first, then whatever still fits
-            for limit in (np.rint(wanted[order]).astype(np.int64).tolist(), [1 << 60] * len(order)):
-                for p, recipe in enumerate(recipes):
-                    n = min(limit[p], *[int(left[a]) // t for a, t in recipe])
+            for limit in (np.rint(wanted).astype(np.int64), np.full(len(order), 1 << 60)):
+                for p in np.flatnonzero((limit > 0) & (left[lengths] >= times).all(1)).tolist():
+                    n = min(int(limit[p]), *[int(left[a]) // t for a, t in recipe(p)])
                     if n > 0:
                         taken[p] += n
-                        for a, t in recipe:
+                        for a, t in recipe(p):
                             left[a] -= n * t
             for p in np.flatnonzero(taken).tolist():
                 offset = 0
-                for a, t in recipes[p]:
+                for a, t in recipe(p):
                     slots.append((a, int(next_rank[a]), t, sequence, offset))
                     next_rank[a] += taken[p] * t
                     offset += a * t

@@ -19,6 +19,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ʯ"
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _NOT_PLAIN = re.compile(rf"[^{_LETTERS}\x20-\x7e\t\n\r]")
 _NONE = np.iinfo(np.int32).max
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Counts of so many different pre-tokens are remembered between batches of a task, then forgotten.
 REMEMBERED = 400_000
 
@@ -34,9 +35,9 @@ class BytePairs:
     """A byte-level BPE vocabulary: merge ranks in sorted arrays, special strings, pre-token pattern."""
 
     def __init__(self, path: str):
-        spec = json.loads(open(path, encoding="utf-8").read())
+        spec = self.spec = json.loads(open(path, encoding="utf-8").read())
         vocab, letters = spec["model"]["vocab"], _byte_letters()
-        self.byte_ids = np.zeros(256, np.int64)
+        self.byte_ids = np.zeros(256, np.int32)
         for letter, byte in letters.items():
             self.byte_ids[byte] = vocab[letter]
         self.width = max(vocab.values()) + 1
@@ -44,16 +45,43 @@ class BytePairs:
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made.astype(np.int32)
+        self.slot_bits = max(16, (4 * len(pairs)).bit_length())
+        self._slots = self._dealt()
+        self.byte_ranks = self._rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)
         self.pattern = regex.compile(PRETOKEN)
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}
 
+    def _dealt(self) -> np.ndarray:
+        """A table from hashes of pairs to their number + 1, 0 where there is none; who finds a place taken goes on to the next."""
+        slots = np.zeros(1 << self.slot_bits, np.int32)
+        rest, at = np.arange(len(self.keys), dtype=np.int32), self._slot(self.keys)
+        while len(rest):
+            free = slots[at] == 0
+            slots[at[free]] = rest[free] + 1
+            late = slots[at] != rest + 1
+            rest, at = rest[late], (at[late] + 1) & (len(slots) - 1)
+        return slots
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * _SPREAD >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.width + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+        key = left.astype(np.int64) * self.width + right
+        at = self._slot(key)
+        found = self._slots[at]
+        fits = (found > 0) & (self.keys[found - 1] == key)
+        out = np.where(fits, self.ranks[found - 1], _NONE)
+        rest = np.flatnonzero(~fits & (found > 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self._slots) - 1)
+            found = self._slots[at[rest]]
+            fits = (found > 0) & (self.keys[found - 1] == key[rest])
+            out[rest[fits]] = self.ranks[found[fits] - 1]
+            rest = rest[~fits & (found > 0)]
+        return out
 
     def merged_lengths(self, tokens: list[bytes], ends: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """How many symbols survive in each byte string; ``ends`` gathers (string, symbol) arrays of the surviving ones.
@@ -63,11 +91,12 @@ class BytePairs:
         """
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         out = lengths.copy()
-        ids = self.byte_ids[np.frombuffer(b"".join(tokens), np.uint8)]
-        owner = np.repeat(np.arange(len(tokens)), lengths)
+        flat = np.frombuffer(b"".join(tokens), np.uint8)
+        ids = self.byte_ids[flat]
+        owner = np.repeat(np.arange(len(tokens), dtype=np.int32), lengths)
         rank = np.full(len(ids), _NONE, np.int32)  # of the pair that starts here
         if len(ids) > 1:
-            rank[:-1] = np.where(owner[1:] == owner[:-1], self._rank(ids[:-1], ids[1:]), _NONE)
+            rank[:-1] = np.where(owner[1:] == owner[:-1], self.byte_ranks[flat[:-1], flat[1:]], _NONE)
         while len(ids):
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             size = np.diff(np.concatenate((starts, [len(ids)])))

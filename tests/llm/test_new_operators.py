@@ -10,6 +10,7 @@ from hashlib import sha256
 import cases
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -165,6 +166,32 @@ def check_packing(rows, texts, how):
     return per_sequence
 
 
+def test_ids_of_columns_match_the_library(monkeypatch):
+    """Whatever the blocks and what is remembered; contractions, runs of blanks, odd letters and special strings, too."""
+    rng = random.Random(8)
+    signs = "aab'' \n\t.s,trevmld9é?-’×ʯʰꙀ\r 1  "
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    texts += ["x" * 200, "-" * 300 + " " + "-" * 301, " " * 500, "<|endoftext|>", "a<|endoftext|>b 's", "a<|endof", "text|>", None, "", "é" * 70]
+    texts += ["it's they're I'll 'sun ''s !'s \n's  's '", "s've", "ab " * 3000, "", "'", "l", "l"]
+    library = Tokenizer.from_file(VOCABULARY)
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    known = pack.TokenIds(VOCABULARY)
+    assert known.of_column(pa.array(texts)) == want == known.of_column(pa.array(["-", *texts])[1:])
+    monkeypatch.setattr(pack, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(pack, "REMEMBERED", 500)
+    known = pack.TokenIds(VOCABULARY)
+    for _ in range(2):
+        assert known.of_column(pa.array(texts)) == want
+    assert known.of_column(pa.array([], pa.string())) == [] and known.of_column(pa.array([None], pa.string())) == [b""]
+
+
+def test_plain_texts_are_put_together_as_arrays(monkeypatch):
+    """No text of usual letters is cut by a pattern of its own, which took most of the time."""
+    known = pack.TokenIds(VOCABULARY)
+    monkeypatch.setattr(known, "of", lambda texts: pytest.fail(f"one by one: {texts}"))
+    assert len(known.of_column(pa.array(["It's an été of 1999,\r\n\tisn't it?  Yes."] * 3))[0]) > 0
+
+
 def test_packing_of_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     how = pack.Packing()
