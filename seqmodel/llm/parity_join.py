@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,10 @@ BUCKET_WORDS = 32
 MOST_WORDS = 512
 #: Rounds in which members are checked against a hub before the rest is compared block by block.
 HUB_ROUNDS = 4
+#: Texts are sent to their sketches, and keys to their buckets, in so many parts, one after the other, so that no more of
+#: them is on disk at once.
+SKETCH_PARTS = 2
+KEY_PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -304,17 +308,25 @@ def _near(members: DataFrame, how: Similarity) -> DataFrame:
     return sorted_.select(*names, "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def _rounds(buckets: DataFrame, sketched: DataFrame, how: Similarity) -> DataFrame:
+def _buckets(keys: DataFrame, part: int) -> DataFrame:
+    """(key, id) of the keys of a part that more than one set has, written."""
+    keys = keys.where(F.pmod("key", F.lit(KEY_PARTS)) == part)
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    return written(keys.join(shared, "key", "left_semi").distinct(), "buckets")
+
+
+def _rounds(parts: list[DataFrame], sketched: DataFrame, how: Similarity) -> DataFrame:
     """(node, comp) of the sets that link with others.
 
-    ``buckets`` has (key, id). First every set is checked against one hub: of the members that lie in most buckets, the
-    one it meets most often. That connects groups of copies without making their pairs, and is repeated while it
+    ``parts`` have (key, id) and are written. First every set is checked against one hub: of the members that lie in most
+    buckets, the one it meets most often. That connects groups of copies without making their pairs, and is repeated while it
     finds links, at most ``HUB_ROUNDS`` times. In the buckets whose members are not all connected then, members of
     different components are compared by their sketches, block by block, and the near ones exactly.
     """
+    buckets = reduce(DataFrame.union, parts)
     degree = buckets.groupBy("id").agg(F.count("*").alias("degree"))
     table = rest = written(buckets.join(degree, "id").select("key", "id", "degree", F.col("id").alias("comp")), "buckets")
-    discard(buckets)
+    discard(*parts)
     links, labels = None, None
     for turn in range(HUB_ROUNDS + 1):
         hub = F.struct((-F.col("degree")).alias("d"), F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
@@ -368,12 +380,12 @@ def linked_groups(df: DataFrame, how: Similarity = Similarity(), id_col: str = "
     linkable = written(_linkable(numbered, sets.where("id is not null"), how), "linkable")
     classes = written(linkable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "classes")
     chosen = linkable.join(classes.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").distinct()
-    sketched = written(_sketched(numbered, chosen, how), "sketches")
+    part = F.pmod(F.xxhash64("id"), F.lit(SKETCH_PARTS))
+    parts = [written(_sketched(numbered.where(part == k), chosen.where(part == k), how), "sketches") for k in range(SKETCH_PARTS)]
+    sketched = reduce(DataFrame.union, parts)
     keys = sketched.select(F.explode("keys").alias("key"), "id")
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    buckets = written(keys.join(shared, "key", "left_semi").distinct(), "buckets")
-    groups = _rounds(buckets, sketched, how)
-    discard(sketched)
+    groups = _rounds([_buckets(keys, k) for k in range(KEY_PARTS)], sketched, how)
+    discard(*parts)
     members = linkable.join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).join(
         groups.withColumnRenamed("node", "rep"), "rep", "left"
     )

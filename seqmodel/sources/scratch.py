@@ -8,10 +8,14 @@ read, and has a size Catalyst knows: a join against it is broadcast only when it
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: list[str] = []
+# Spark deletes the shuffle files of a query when it ends, not when its plan is collected as garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,16 +32,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str, lookup: bool = False) -> DataFrame:
     """Write ``df`` once and hand back a reader of the written table.
 
     A ``lookup`` is a table others join against. It is stored without compression and dictionaries,
     so that its file size is the size of its values: repeated symbols would otherwise shrink to a
-    file that passes for broadcastable and is not.
+    file that passes for broadcastable and is not. The files of its shuffles are deleted once it is written.
     """
     path = new_path(df.sparkSession, name)
     plain = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
-    df.write.options(**(plain if lookup else {})).parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.options(**(plain if lookup else {})).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

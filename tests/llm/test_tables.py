@@ -245,6 +245,21 @@ def test_linked_groups_by_brute_force(spark, how):
     assert [(r.n_shingles, r.component_id) for r in rows if r.doc_id is None] == [(want[6][0], None)]
 
 
+def test_texts_and_keys_are_sent_in_parts(spark, monkeypatch):
+    """No step has all of them on disk at once; the parts together have every text and key."""
+    rng = random.Random(4)
+    base = [cases.words(rng, 40, 400) for _ in range(30)]
+    texts = [t for t in base for _ in range(2)] + [f"{t} more" for t in base]
+    made, real = [], parity_join.written
+    monkeypatch.setattr(parity_join, "written", lambda df, name, **k: (made.append((name, df.count(), df.columns)), real(df, name, **k))[1])
+    got = {r.doc_id: r.component_id for r in parity_join.linked_groups(cases.documents(spark, texts), HOWS[0]).collect()}
+    assert got == {i: i // 2 * 2 if i < 60 else (i - 60) * 2 for i in range(90)}
+    sketches = [n for name, n, _ in made if name == "sketches"]
+    assert len(sketches) == parity_join.SKETCH_PARTS and sum(sketches) == 60 and max(sketches) < 60
+    buckets = [n for name, n, columns in made if name == "buckets" and columns == ["key", "id"]]
+    assert len(buckets) == parity_join.KEY_PARTS and max(buckets) < sum(buckets)
+
+
 def test_linked_groups_of_repeated_ids_and_empty_tables(spark):
     rng = random.Random(9)
     a, b = cases.words(rng, 50), cases.words(rng, 50)

@@ -1,12 +1,14 @@
 """Files in, sequences out; models to files and back."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqmodel.functions.text import NO_SYMBOL
 from seqmodel.operators import score
 from seqmodel.operators.automaton import Model
 from seqmodel.sources.conn_log import numbered_lines, read_conn_log, read_lines
 from seqmodel.sources.model_store import load_model, save_model
+from seqmodel.sources.scratch import written
 from seqmodel.sources.wide_table import read_wide_table
 
 
@@ -181,3 +183,14 @@ def test_headers_without_lines_are_an_error(spark, tmp_path):
         read_conn_log(spark, paths)
     with pytest.raises(ValueError, match="no sequences"):
         read_conn_log(spark, paths, header=HEADER)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """They went only when the driver's heap was collected, so a pipeline held those of many steps at once."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {n for n in blocks.getAllFiles().mkString(" ").split() if n.endswith(".data")}
+    before, was = names(), spark.conf.get(setting)
+    table = written(spark.range(10_000).groupBy((F.col("id") * 7 % 5000).alias("k")).count(), "counted")
+    assert names() <= before and spark.conf.get(setting) == was
+    assert table.count() == 5000 and table.groupBy("count").count().collect() == [(2, 5000)]
