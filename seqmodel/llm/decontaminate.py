@@ -45,14 +45,18 @@ class Containment:
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(plain, " "), "")  # without words there is one empty piece
 
 
 def _shingles(df: DataFrame, keep: list[str], text_col: str, size: int) -> DataFrame:
-    """(keep..., h): a row per shingle. With fewer words the whole sequence is one; without words there is none."""
+    """(keep..., h): a row per shingle. With fewer words the whole sequence is one; without words there is none.
+
+    Rows without words get no places instead of being filtered, since Spark would cut the text once more for the filter.
+    """
     worded = df.select(*keep, words_of(F.col(text_col)).alias("words"))
     last = F.greatest(F.size("words") - size, F.lit(0))
-    at = worded.where(F.size("words") > 0).select(*keep, "words", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), last))
+    at = worded.select(*keep, "words", F.explode(places).alias("i"))
     return at.select(*keep, F.xxhash64(*[F.get(F.col("words"), F.col("i") + k) for k in range(size)]).alias("h"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmodel.llm.components import components
-from seqmodel.llm.ragged import map_texts, mix, shingle_sets, slices, utf8, word_hashes, words
+from seqmodel.llm.ragged import SMALL_SLICE_BYTES, map_texts, mix, shingle_sets, slices, utf8, word_hashes, words
 from seqmodel.sources.scratch import discard, written
 
 _ONE = np.uint64(1)
@@ -126,7 +126,7 @@ def _sets(docs: DataFrame, how: Similarity) -> DataFrame:
         rows = [(len(s), *_digest(s)) for s in shingle_sets(*utf8(batch.column("text")), how.size)]
         return dict(zip(("n", "d1", "d2"), np.array(rows, np.int64).reshape(-1, 3).T, strict=True))
 
-    return map_texts(docs, ["id"], "text", run, "id long, n long, d1 long, d2 long")
+    return map_texts(docs, ["id"], "text", run, "id long, n long, d1 long, d2 long", SMALL_SLICE_BYTES)
 
 
 def _sample(docs: DataFrame, how: Similarity) -> DataFrame:
@@ -134,7 +134,7 @@ def _sample(docs: DataFrame, how: Similarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SMALL_SLICE_BYTES):
                 found = [np.unique(s[s < how.sampled]) for s in _rolled(batch.column("text"), how.size)]
                 ids = np.repeat(np.asarray(batch.column("id"), np.int64), [len(s) for s in found])
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -181,7 +181,7 @@ def _sketched(docs: DataFrame, chosen: DataFrame, how: Similarity) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SMALL_SLICE_BYTES):
                 rows: list[tuple] = []
                 found = shingle_sets(*utf8(batch.column("text")), how.size)
                 for no, d1, d2, s in zip(*[batch.column(c).to_pylist() for c in ("id", "d1", "d2")], found, strict=True):

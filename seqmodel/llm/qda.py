@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmodel.llm.ragged import map_texts, slices, utf8, word_hashes, words
+from seqmodel.llm.ragged import SMALL_SLICE_BYTES, map_texts, slices, utf8, word_hashes, words
 from seqmodel.sources.scratch import written
 
 #: Letters of each byte class, and the share it is taken to have in prose: short texts lean on it.
@@ -138,7 +138,7 @@ def _stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return {"stats": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, d, dtype=np.int32), pa.array(flat))}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return written(map_texts(df, [id_col], text_col, stats_of, f"`{id_col}` {kind}, stats array<double>"), "text-statistics")
+    return written(map_texts(df, [id_col], text_col, stats_of, f"`{id_col}` {kind}, stats array<double>", SMALL_SLICE_BYTES), "text-statistics")
 
 
 def _learned(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, shrink: float, ridge: float) -> Discriminant:
@@ -155,7 +155,7 @@ def accepted(
 
     def kept(batches):
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SMALL_SLICE_BYTES):
                 yield batch.filter(pa.array(model.score(statistics(batch, text_col)) >= least))
 
     return df.mapInArrow(kept, df.schema)

@@ -16,6 +16,9 @@ _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts of a batch are worked on in slices of about so many bytes, so that the arrays stay small.
 SLICE_BYTES = 4 << 20
+#: For work that shares nothing between the texts of a slice: its arrays, 8 bytes and more for each byte of text, set the
+#: memory of a Python worker, which keeps it while it waits for its next task.
+SMALL_SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,10 +33,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``SLICE_BYTES`` of text, or of one row."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces that begin less than ``most`` bytes of text apart, or of one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    group = (np.cumsum(sizes) - sizes) // most
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
         if b > a:
@@ -107,12 +110,12 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
             yield np.zeros(0, np.uint64)
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable, schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """``fn(batch) -> dict of columns`` over slices of ``keep`` and ``text``; ``keep`` comes first in ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, most):
                 made = fn(batch)
                 columns = {c: batch.column(c) for c in keep} | made
                 yield pa.RecordBatch.from_pydict(columns)

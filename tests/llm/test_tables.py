@@ -3,16 +3,18 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import difference, oracle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqmodel.llm import decontaminate, mixing, parity_join, pii, queries, revisits, url_filter
+from seqmodel.llm import decontaminate, mixing, parity_join, pii, qda, queries, ragged, revisits, url_filter
 from seqmodel.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +55,53 @@ def test_leaks_by_brute_force(spark):
         assert decontaminate.leaks(a, b).count() == 0
 
 
+def test_texts_are_cut_into_words_once(spark):
+    """The pattern stood in a filter and both branches of a case as well, so each text was cut up to four times."""
+    texts = [None, "", " \n", "!!", "--One--", " a  b ", "É-ß 漢字, x_y 7"]
+    docs = cases.documents(spark, texts)
+    rows = docs.select("doc_id", decontaminate.words_of(F.col("text")).alias("w")).orderBy("doc_id").collect()
+    assert [r.w for r in rows] == [[], [], [], [], ["one"], ["a", "b"], ["é", "ß", "漢字", "x", "y", "7"]]
+    found = decontaminate._shingles(docs, ["doc_id"], "text", 5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("regexp_replace") == 1
+    assert Counter(r.doc_id for r in found.collect()) == {4: 1, 5: 1, 6: 2}
+
+
+def test_small_slices_hold_all_texts_and_little_at_once():
+    """Workers that wait kept what 4 MB of text took in quality and near_duplicates."""
+    rng = random.Random(12)
+    texts = [None, "", *(cases.words(rng, 400) for _ in range(1500)), "a" * 3_000_000]
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(len(texts)), "text": texts})
+    parts = list(ragged.slices(batch, "text", ragged.SMALL_SLICE_BYTES))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    sizes = [sum(len(t or "") for t in p.column("text").to_pylist()) for p in parts]
+    assert sum(sizes) > 6 * ragged.SMALL_SLICE_BYTES and max(sizes[:-1]) < 1.01 * ragged.SMALL_SLICE_BYTES
+    tracemalloc.start()
+    several = [qda.statistics(p, "text") for p in parts[:-1]]
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 60 << 20
+    whole = qda.statistics(batch.slice(0, sum(p.num_rows for p in parts[:-1])), "text")
+    assert np.array_equal(np.concatenate(several), whole)
+
+
+@pytest.mark.parametrize("work", ["quality", "near_duplicates"])
+def test_statistics_and_shingles_are_worked_on_in_small_slices(spark, work, monkeypatch):
+    taken = []
+    mapped = ragged.map_texts
+
+    def noted(df, keep, text, fn, schema, most=ragged.SLICE_BYTES):
+        taken.append(most)
+        return mapped(df, keep, text, fn, schema, most)
+
+    monkeypatch.setattr(qda if work == "quality" else parity_join, "map_texts", noted)
+    docs = cases.documents(spark, ["a b c d e f", "x"])
+    if work == "quality":
+        qda._stats(docs, "doc_id", "text")
+    else:
+        parity_join._sets(docs.withColumn("id", F.col("doc_id")), parity_join.Similarity())
+    assert taken == [ragged.SMALL_SLICE_BYTES]
+
+
 def test_hash_functions_suffice_for_every_pair_of_sizes():
     how = decontaminate.Containment()
     for p, row in how.plan().items():
