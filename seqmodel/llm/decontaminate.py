@@ -114,7 +114,9 @@ def leaked_texts(
         *_KEY, "p", F.explode(_signature(F.col("set"), F.sequence(F.lit(0), F.col("b") - 1))).alias("s")
     ).select(*_KEY, "p", "s.j", "s.v")
     probes = [(q, p, b) for p, row in plan.items() for q, b in row.items()]
-    table = docs.sparkSession.createDataFrame(probes, "q int, p int, b int")  # a row per pair of classes
+    rows = [F.struct(*[F.lit(x).cast("int").alias(c) for c, x in zip("qpb", probe, strict=True)]) for probe in probes]
+    # a row per pair of classes; createDataFrame would start Python workers on the executors for these rows alone
+    table = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
     asked = whole.join(F.broadcast(table), "q")
     wanted = asked.where("b > 0").select(
         "item", "p", F.explode(_signature(F.col("item_set"), F.sequence(F.lit(0), F.col("b") - 1))).alias("s")

@@ -524,6 +524,54 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(after)
 
 
+def _largest_batch(docs) -> int:
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    return docs.select("text").mapInArrow(run, "bytes long").agg(F.max("bytes")).first()[0]
+
+
+@pytest.fixture
+def setting(spark):
+    """The name of a setting that stages make; unset before and after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    yield name
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "personal_data"])
+def test_texts_go_to_python_in_small_batches(spark, tmp_path, setting, name):
+    rng = random.Random(11)
+    cases.documents(spark, [cases.words(rng, 600) for _ in range(1200)], clashing=False).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    stage, before = dict(corpus_pipeline.STAGES)[name], _largest_batch(docs)
+    made = stage(spark, docs, SF)
+    assert before > 3 << 20 and _largest_batch(docs) < 3 << 19
+    assert made.columns == corpus_pipeline.COLUMNS
+    spark.conf.set(setting, "3m")
+    stage(spark, docs.limit(10), SF)
+    assert spark.conf.get(setting) == "3m"
+
+
+def test_pipeline_leaves_the_session_as_it_was(spark, setting):
+    corpus_pipeline.run(spark, SF)
+    assert spark.conf.get(setting, None) is None
+
+
+def test_leaks_start_no_python_workers(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    docs = cases.documents(spark, [" ".join(words), "other text " * 20, None])
+    items = spark.createDataFrame([(1, " ".join(words[5:30])), (2, "none of these words")], "item_id long, text string")
+
+    def refused(*args, **kwargs):
+        raise AssertionError("createDataFrame")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_copies_go_row_by_row(spark):
     """Repeated rows, null ids and one id with two texts: one row of each group stays, and nothing else goes."""
     rng = random.Random(17)
